@@ -96,7 +96,7 @@ def _texts(d: Dialect) -> dict[str, str]:
     t = {}
 
     t["cases"] = f"""
-        SELECT 'C' || {text('event_id')} AS case_id, event_id AS case_number, user_id, ts AS created_time,
+        SELECT 'C' || {text('event_id')} AS case_id, event_id AS case_number, user_id * 3 AS user_id, ts AS created_time,
           {closed} AS closed_time,
           {iso(mt('ts'))} AS created_time_mt, {iso(mt(closed))} AS closed_time_mt,
           {iso(pht('ts'))} AS created_time_pht, {iso(pht(closed))} AS closed_time_pht,
@@ -108,7 +108,7 @@ def _texts(d: Dialect) -> dict[str, str]:
           'A' || {text('user_id')} AS case_owner_agent_id,
           CASE k % 11 WHEN 2 THEN 'Noise' WHEN 3 THEN NULL ELSE 'Desk' END AS case_owner_agent_team,
           CASE WHEN event_id % 17 = 0 THEN 'C' || {text('event_id - 1')} END AS duplicate_case_id,
-          CASE WHEN k % 6 BETWEEN 1 AND 4 THEN k % 6 END AS pro_segment_group_id,
+          CASE WHEN event_id % 7 BETWEEN 1 AND 5 THEN event_id % 7 END AS pro_segment_group_id,
           'V' || {text('event_id')} AS csat_id, 'A' || {text('user_id')} AS csat_owner_agent_id,
           k % 3 <> 0 AS csat_survey_offered,
           CASE WHEN k % 3 = 0 THEN 'recently asked' END AS csat_survey_not_offered_reason,

@@ -36,7 +36,8 @@ def user_buckets(assignments: DataFrame) -> DataFrame:
     """
     bounds = settle(experiment_bounds(assignments), "experiment-bounds")
     per_bucket = (
-        assignments.join(bounds, "experiment_id", "left")
+        assignments.select("experiment_id", "bucket_id", "user_id", "assignment_time")
+        .join(bounds, "experiment_id", "left")
         .filter(open_until(from_millis(F.col("assignment_time")), F.col("experiment_stop_time")))
         .groupBy("experiment_id", "bucket_id", "user_id", "experiment_start_time", "experiment_stop_time")
         .agg(
