@@ -44,6 +44,7 @@ class Dialect:
     ms: str
     plus_hours: str
     week: str
+    stamp: str
 
 
 SPARK = Dialect(
@@ -54,6 +55,7 @@ SPARK = Dialect(
     ms="unix_millis(cast({0} as timestamp))",
     plus_hours="({0} + make_dt_interval(0, cast({1} as int)))",
     week="trunc({0}, 'week')",
+    stamp="TIMESTAMP_NTZ '{0}'",
 )
 DUCKDB = Dialect(
     iso="strftime({0}, '%Y-%m-%d %H:%M:%S')",
@@ -63,6 +65,7 @@ DUCKDB = Dialect(
     ms="(epoch_us({0}) // 1000)",
     plus_hours="({0} + to_hours(cast({1} as int)))",
     week="cast(date_trunc('week', {0}) as date)",
+    stamp="TIMESTAMP '{0}'",
 )
 
 
@@ -85,6 +88,9 @@ def _texts(d: Dialect) -> dict[str, str]:
     def later(ts, hours):
         return d.plus_hours.format(ts, hours)
 
+    def stamp(literal):
+        return d.stamp.format(literal)
+
     def text(x):
         return f"cast({x} as string)"
 
@@ -234,15 +240,15 @@ def _texts(d: Dialect) -> dict[str, str]:
         SELECT event_type AS experiment_id,
           CASE WHEN k < 5 THEN {text('1 - user_id % 2')} ELSE {text('user_id % 2')} END AS bucket_id,
           user_id, {ms('ts')} AS assignment_time,
-          CASE event_type WHEN 'view' THEN {ms("TIMESTAMP '2024-01-20 12:00:00'")}
-            WHEN 'click' THEN {ms("TIMESTAMP '2024-01-10 00:00:00'")} END AS experiment_stop_time
+          CASE event_type WHEN 'view' THEN {ms(stamp("2024-01-20 12:00:00"))}
+            WHEN 'click' THEN {ms(stamp("2024-01-10 00:00:00"))} END AS experiment_stop_time
         FROM {k_events}"""
 
     t["request_assignments"] = f"""
         SELECT o_orderpriority || ' ' || o_orderstatus AS experiment_id,
           CASE WHEN o_custkey % 41 <> 0 THEN {text('o_orderkey % 2')} END AS bucket_id, o_orderkey AS request_id,
           {ms('o_orderdate')} AS assignment_time,
-          CASE o_orderstatus WHEN 'F' THEN {ms("TIMESTAMP '2000-06-01 00:00:00'")} END AS experiment_stop_time
+          CASE o_orderstatus WHEN 'F' THEN {ms(stamp("2000-06-01 00:00:00"))} END AS experiment_stop_time
         FROM @orders"""
 
     t["request_quotes"] = """
@@ -270,12 +276,14 @@ def _texts(d: Dialect) -> dict[str, str]:
           cast(o_orderkey % 25 as int) AS category_id, cast(o_custkey % 5 as int) AS cbsa_id
         FROM @orders"""
 
-    t["markets"] = """
-        SELECT n_nationkey AS category_id, r_regionkey AS cbsa_id,
-          CASE WHEN n_nationkey % 4 <> 1 THEN TIMESTAMP '1998-01-01 00:00:00' END AS enabled_timestamp
-        FROM @nation JOIN @region ON n_regionkey = r_regionkey OR n_nationkey = r_regionkey * 5 + 2
+    t["markets"] = f"""
+        SELECT n_nationkey AS category_id, n_regionkey AS cbsa_id,
+          CASE WHEN n_nationkey % 4 <> 1 THEN {stamp('1998-01-01 00:00:00')} END AS enabled_timestamp
+        FROM @nation
         UNION ALL
-        SELECT n_nationkey, n_regionkey, TIMESTAMP '1999-01-01 00:00:00' FROM @nation WHERE n_regionkey = 3"""
+        SELECT n_nationkey, CASE n_regionkey WHEN 3 THEN 3 ELSE (n_regionkey + 2) % 5 END,
+          {stamp('1999-01-01 00:00:00')}
+        FROM @nation WHERE n_regionkey >= 2"""
 
     t["quotes"] = f"""
         SELECT CASE WHEN o_orderkey % 53 <> 0 THEN o_orderkey END AS bid_id, o_custkey AS pro_user_id,
@@ -292,7 +300,7 @@ def _texts(d: Dialect) -> dict[str, str]:
     t["pros"] = f"""
         SELECT c_custkey AS pro_user_id,
           CASE WHEN c_custkey % 47 <> 0
-            THEN {later("TIMESTAMP '1995-02-01 00:00:00'", '24 * (c_custkey * 13 % 2300)')} END AS first_service_create_time
+            THEN {later(stamp("1995-02-01 00:00:00"), '24 * (c_custkey * 13 % 2300)')} END AS first_service_create_time
         FROM @customer"""
 
     t["segments"] = """

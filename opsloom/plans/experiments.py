@@ -17,6 +17,8 @@ from opsloom.operators.relations import same_key, tagged, union_by_position, wit
 from opsloom.session import settle
 
 MIXED = "multiple"
+ROLES = ("pro", "customer")
+MEMBER = ["experiment_id", "user_id", "roles"]
 ARM = ["experiment_id", "bucket_id", "experiment_start_time", "experiment_stop_time"]
 
 
@@ -86,10 +88,11 @@ def user_arms(assignments: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def request_users(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Users touched by each assigned request, in the role of pro or customer.
+def request_members(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One row per experiment, bucket, request and user, with the user's roles on the request.
 
-    Rows that would repeat are kept once with their ``row_count``. Times stay epoch milliseconds.
+    Carries how often the user stands in each role and the request's first and last assignment and stop
+    time, in epoch milliseconds. Assignments and quotes are both reduced before they meet.
     """
     assigned = assignments.groupBy("experiment_id", "bucket_id", "request_id").agg(
         F.min("assignment_time").alias("first_time"),
@@ -97,94 +100,156 @@ def request_users(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
         F.max("experiment_stop_time").alias("stop_time"),
         F.count(F.lit(1)).alias("n_assigned"),
     )
-    roles = F.array(
-        F.struct(F.lit("pro").alias("role"), F.col("pro_user_id").cast("bigint").alias("user_id")),
-        F.struct(F.lit("customer").alias("role"), F.col("customer_id").cast("bigint").alias("user_id")),
+    users = F.array(
+        *[
+            F.struct(F.lit(role).alias("role"), F.col(column).cast("bigint").alias("user_id"))
+            for role, column in (("pro", "pro_user_id"), ("customer", "customer_id"))
+        ]
     )
     touched = (
-        quotes.select("request_id", F.inline(roles))
+        quotes.select("request_id", F.inline(users))
         .filter(F.col("user_id").isNotNull())
-        .groupBy("request_id", "role", "user_id")
-        .agg(F.count(F.lit(1)).alias("n_quotes"))
+        .groupBy("request_id", "user_id")
+        .agg(*[count_when(F.col("role") == role).alias(f"n_{role}") for role in ROLES])
     )
-    return assigned.join(touched, "request_id").select(
-        "experiment_id", "bucket_id", "request_id", "role", "user_id", "first_time", "last_time", "stop_time",
-        (F.col("n_assigned") * F.col("n_quotes")).alias("row_count"),
+    roles = F.when((F.col("n_pro") > 0) & (F.col("n_customer") > 0), "both").otherwise(
+        F.when(F.col("n_pro") > 0, "pro").otherwise("customer")
+    )
+    return assigned.join(touched, "request_id").withColumn("roles", roles)
+
+
+def _role_bounds(members: DataFrame) -> DataFrame:
+    """Start and stop of each experiment over the requests that have users of a role; one row per experiment."""
+    bounds = members.groupBy("experiment_id").agg(
+        *[
+            agg(F.when(F.col(f"n_{role}") > 0, F.col(source))).alias(f"{role}_{name}")
+            for role in ROLES
+            for name, agg, source in (("start", F.min, "first_time"), ("stop", F.max, "stop_time"))
+        ]
     )
+    return settle(bounds, "role-bounds")
+
+
+def _bounds_of(roles: Column) -> list[Column]:
+    """Experiment start and stop as the user's roles see them; they differ when requests lack a role."""
+
+    def over(pick, name: str) -> Column:
+        return pick(*[F.when(roles.isin(role, "both"), F.col(f"b.{role}_{name}")) for role in ROLES])
+
+    return [
+        over(F.least, "start").alias("experiment_start_time"),
+        over(F.greatest, "stop").alias("experiment_stop_time"),
+    ]
 
 
 def request_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Request-user rows with first and last assignment of the user and bounds of the experiment, per role."""
+    """Users touched by each assigned request, once per role, with the times of user and experiment in that role.
+
+    Rows that would repeat are kept once with their ``row_count``. Times are epoch milliseconds.
+    """
+    members = settle(request_members(assignments, quotes), "request-members")
+    per_role = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"n_{r}").alias("n_quotes")) for r in ROLES])
+    rows = members.select("*", F.inline(per_role)).filter("n_quotes > 0")
     rows = with_group_values(
-        settle(request_users(assignments, quotes), "request-users"),
+        rows,
         ["experiment_id", "role", "user_id"],
         {"min_assignment_time": F.min("first_time"), "max_assignment_time": F.max("last_time")},
     )
-    return with_group_values(
-        rows,
-        ["experiment_id", "role"],
-        {"experiment_start_time": F.min("first_time"), "experiment_stop_time": F.max("stop_time")},
-        few_groups=True,
-    ).select(
-        "experiment_id", "bucket_id", "role", "min_assignment_time", "max_assignment_time",
-        "experiment_start_time", "experiment_stop_time", "request_id", "user_id", "row_count",
+    return (
+        rows.alias("r")
+        .join(_role_bounds(members).alias("b"), same_key("r", "b", ["experiment_id"]))
+        .select(
+            "r.experiment_id", "bucket_id", "role", "min_assignment_time", "max_assignment_time",
+            *_bounds_of(F.col("r.role")), "request_id", "user_id",
+            (F.col("n_assigned") * F.col("n_quotes")).alias("row_count"),
+        )
     )
 
 
 def unified_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
     """One row per experiment, bucket, request and user over both roles.
 
-    First and last assignment are the user's over the whole experiment. Bounds are those of the roles
-    the user has on the request; the two roles can differ, since a request may lack one of them.
+    First and last assignment are the user's over the whole experiment.
     """
-    rows = settle(request_users(assignments, quotes), "request-users")
-    bounds = rows.groupBy("experiment_id").agg(
-        *[
-            agg(F.when(F.col("role") == role, F.col(source))).alias(f"{role}_{name}")
-            for role in ("pro", "customer")
-            for name, agg, source in (("start", F.min, "first_time"), ("stop", F.max, "stop_time"))
-        ]
-    )
-    members = rows.groupBy("experiment_id", "bucket_id", "request_id", "user_id").agg(
-        F.bool_or(F.col("role") == "pro").alias("as_pro"),
-        F.bool_or(F.col("role") == "customer").alias("as_customer"),
-    )
-    times = rows.groupBy("experiment_id", "user_id").agg(
-        F.min("first_time").alias("min_assignment_time"), F.max("last_time").alias("max_assignment_time")
+    members = settle(request_members(assignments, quotes), "request-members")
+    timed = with_group_values(
+        members,
+        ["experiment_id", "user_id"],
+        {"min_assignment_time": F.min("first_time"), "max_assignment_time": F.max("last_time")},
     )
-
-    def by_role(pick, name: str) -> Column:
-        return pick(*[F.when(F.col(f"m.as_{r}"), F.col(f"b.{r}_{name}")) for r in ("pro", "customer")])
-
     return (
-        members.alias("m")
-        .join(times.alias("t"), same_key("m", "t", ["experiment_id", "user_id"]))
-        .join(settle(bounds, "role-bounds").alias("b"), same_key("m", "b", ["experiment_id"]))
+        timed.alias("m")
+        .join(_role_bounds(members).alias("b"), same_key("m", "b", ["experiment_id"]))
         .select(
-            "m.experiment_id",
-            "m.bucket_id",
-            "t.min_assignment_time",
-            "t.max_assignment_time",
-            by_role(F.least, "start").alias("experiment_start_time"),
-            by_role(F.greatest, "stop").alias("experiment_stop_time"),
-            "m.request_id",
-            "m.user_id",
+            "m.experiment_id", "bucket_id", "min_assignment_time", "max_assignment_time",
+            *_bounds_of(F.col("m.roles")), "request_id", "user_id",
         )
     )
 
 
 def exposure_weights(exposure: DataFrame) -> DataFrame:
     """Exposure rows with distinct buckets and requests of the user in the experiment and in the bucket."""
-    whole = with_group_values(
-        exposure,
-        ["experiment_id", "user_id"],
-        {
-            "num_user_buckets": F.count_distinct("bucket_id"),
-            "num_user_exp_requests": F.count_distinct("request_id"),
-        },
+    exposure = settle(exposure, "exposure")
+    per_bucket = exposure.groupBy("experiment_id", "bucket_id", "user_id").agg(
+        F.count_distinct("request_id").alias("num_user_bucket_requests")
+    )
+    per_user = exposure.groupBy("experiment_id", "user_id").agg(
+        F.count_distinct("bucket_id").alias("num_user_buckets"),
+        F.count_distinct("request_id").alias("num_user_exp_requests"),
+    )
+    weights = per_bucket.alias("k").join(
+        per_user.alias("u"), same_key("k", "u", ["experiment_id", "user_id"])
+    ).select("k.*", "u.num_user_buckets", "u.num_user_exp_requests")
+    return exposure.alias("e").join(
+        weights.alias("w"), same_key("e", "w", ["experiment_id", "bucket_id", "user_id"])
+    ).select("e.*", "w.num_user_buckets", "w.num_user_exp_requests", "w.num_user_bucket_requests")
+
+
+def _user_spans(members: DataFrame) -> DataFrame:
+    """Per experiment, user and combination of roles (three at most): bounds, counting interval and requests."""
+    kinds = [*ROLES, "both"]
+    users = members.groupBy("experiment_id", "user_id").agg(
+        F.min("first_time").alias("first_time"),
+        F.count_distinct("request_id").alias("n_requests"),
+        *[F.bool_or(F.col("roles") == kind).alias(f"is_{kind}") for kind in kinds],
+    )
+    present = F.array_compact(F.array(*[F.when(F.col(f"is_{kind}"), F.lit(kind)) for kind in kinds]))
+    rows = users.select("experiment_id", "user_id", "first_time", "n_requests", F.explode(present).alias("roles"))
+    bounded = rows.alias("s").join(_role_bounds(members).alias("b"), same_key("s", "b", ["experiment_id"])).select(
+        "s.*", *_bounds_of(F.col("s.roles"))
+    )
+    stop = from_millis(F.col("experiment_stop_time"))
+    return bounded.select(
+        "experiment_id", "user_id", "roles", "n_requests",
+        from_millis(F.col("first_time")).alias("since"),
+        F.coalesce(stop, F.lit(FAR_FUTURE)).alias("until"),
+        from_millis(F.col("experiment_start_time")).alias("experiment_start_time"),
+        stop.alias("experiment_stop_time"),
+    )
+
+
+def _repeated_hits(members: DataFrame, spans: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Per request, one row for each case id among ``repeated`` that any of its users reached."""
+    # Counted like all cases, with user and case id as the key, so a much repeated id is not met row by row.
+    owned = repeated.withColumn("case_key", F.struct("user_id", "case_id"))
+    reached = spans.join(owned.select("user_id", "case_id", "case_key").distinct(), "user_id").select(
+        *MEMBER, "experiment_start_time", "experiment_stop_time", "since", "until", "case_id", "case_key"
     )
-    return with_group_values(
-        whole, ["experiment_id", "bucket_id", "user_id"], {"num_user_bucket_requests": F.count_distinct("request_id")}
+    hits = count_in_intervals(
+        reached, owned, key="case_key", start="since", stop="until", at="created_time", measures={"n": F.lit(1)}
+    ).filter("n > 0")
+    return (
+        members.alias("m")
+        .join(hits.alias("h"), same_key("m", "h", MEMBER))
+        .select(
+            "m.experiment_id", "m.bucket_id", "h.experiment_start_time", "h.experiment_stop_time", "m.request_id",
+            "h.case_id",
+        )
+        .distinct()
+        .select(
+            *ARM, "request_id", F.lit(0).alias("users"), F.lit(0).alias("contacting"), F.lit(1).alias("n_ids"),
+            F.lit(0).alias("n_requests"),
+        )
     )
 
 
@@ -196,84 +261,38 @@ def request_arms(assignments: DataFrame, quotes: DataFrame, cases: DataFrame) ->
 
     A user's cases are counted once per experiment instead of once per request, and added up over the
     users of a request. That equals the distinct count as long as a case id stands on one row. Ids that
-    stand on several different rows are set apart and counted distinctly, request by request.
+    stand on several rows are set apart and counted distinctly, request by request.
     """
-    members = settle(
-        unified_exposure(assignments, quotes).select(
-            "experiment_id",
-            "bucket_id",
-            from_millis(F.col("experiment_start_time")).alias("experiment_start_time"),
-            from_millis(F.col("experiment_stop_time")).alias("experiment_stop_time"),
-            "request_id",
-            "user_id",
-            from_millis(F.col("min_assignment_time")).alias("since"),
-            F.coalesce(from_millis(F.col("experiment_stop_time")), F.lit(FAR_FUTURE)).alias("until"),
-        ),
-        "request-members",
+    members = settle(request_members(assignments, quotes), "request-members")
+    spans = settle(_user_spans(members), "user-spans")
+    found = settle(contact_cases(cases), "contact-cases")
+    repeated_ids = settle(
+        found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("case_id").isNotNull() & (F.col("n") > 1)).select("case_id"),
+        "repeated-case-ids",
     )
-    span = ["experiment_id", "user_id", "since", "until"]
-    request = [*ARM, "request_id"]
+    flagged = found.join(repeated_ids.withColumn("repeated", F.lit(True)), "case_id", "left")
+    counted_once = F.col("case_id").isNotNull() & F.col("repeated").isNull()
 
-    found = contact_cases(cases)
-    by_id = settle(
-        found.filter(F.col("case_id").isNotNull())
-        .distinct()
-        .groupBy("case_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.any_value("user_id").alias("user_id"),
-            F.any_value("created_time").alias("created_time"),
-        ),
-        "cases-by-id",
-    )
-    plain = by_id.filter("n = 1").select("user_id", "created_time", F.lit(1).alias("n_ids"))
-    repeated = found.join(by_id.filter("n > 1").select("case_id"), "case_id", "left_semi")
-    unnamed = found.filter(F.col("case_id").isNull())
-    points = plain.unionByName(
-        repeated.unionByName(unnamed).select("user_id", "created_time", F.lit(0).alias("n_ids"))
-    )
-
-    spans = members.select(*span).distinct()
-    counted = count_in_intervals(
-        spans, points, key="user_id", start="since", stop="until", at="created_time",
-        measures={"n_rows": F.lit(1), "n_ids": F.col("n_ids")},
+    per_span = count_in_intervals(
+        spans, flagged, key="user_id", start="since", stop="until", at="created_time",
+        measures={"n_rows": F.lit(1), "n_ids": F.when(counted_once, 1).otherwise(0)},
     )
-    shares = members.groupBy("experiment_id", "user_id").agg(F.count_distinct("request_id").alias("n_requests"))
-    per_span = counted.alias("c").join(
-        shares.alias("s"), same_key("c", "s", ["experiment_id", "user_id"])
-    ).select("c.*", "s.n_requests")
+    request = [*ARM, "request_id"]
     per_member = (
         members.alias("m")
-        .join(per_span.alias("p"), same_key("m", "p", span))
+        .join(per_span.alias("s"), same_key("m", "s", MEMBER))
         .select(
-            *[f"m.{c}" for c in request],
-            F.lit(1).alias("users"),
-            F.when(F.col("p.n_rows") > 0, 1).otherwise(0).alias("contacting"),
-            F.col("p.n_ids").alias("n_ids"),
-            F.col("p.n_requests").alias("n_requests"),
-        )
-    )
-    hits = (
-        spans.alias("s")
-        .join(
-            repeated.alias("r"),
-            (F.col("s.user_id") == F.col("r.user_id"))
-            & F.col("r.created_time").between(F.col("s.since"), F.col("s.until")),
+            "m.experiment_id", "m.bucket_id", "s.experiment_start_time", "s.experiment_stop_time", "m.request_id",
+            F.lit(1).alias("users"), F.when(F.col("s.n_rows") > 0, 1).otherwise(0).alias("contacting"),
+            F.col("s.n_ids").alias("n_ids"), F.col("s.n_requests").alias("n_requests"),
         )
-        .select(*[f"s.{c}" for c in span], "r.case_id")
-        .distinct()
-    )
-    repeated_ids = (
-        members.alias("m")
-        .join(hits.alias("h"), same_key("m", "h", span))
-        .select(*[f"m.{c}" for c in request], "h.case_id")
-        .distinct()
-        .select(*request, F.lit(0).alias("users"), F.lit(0).alias("contacting"), F.lit(1).alias("n_ids"),
-                F.lit(0).alias("n_requests"))
     )
+    rows = per_member
+    if not repeated_ids.isEmpty():
+        rows = rows.unionByName(_repeated_hits(members, spans, found.join(repeated_ids, "case_id", "left_semi")))
     per_request = (
-        per_member.unionByName(repeated_ids)
-        .groupBy(*request)
+        rows.groupBy(*request)
         .agg(
             F.sum("users").alias("users"), F.sum("contacting").alias("contacting"),
             F.sum("n_ids").alias("ids"), F.max("n_requests").alias("weight"),
