@@ -69,7 +69,8 @@ def count_in_intervals(
     Days wholly inside an interval are answered from per-day totals (at most one row per key and day,
     however many points a key holds); raw points are joined only on the interval's first and last day,
     by key and day. So a key with a large share of the points never meets all of its intervals row by
-    row. Intervals without points keep their row with zeros.
+    row. Intervals without points keep their row with zeros. Both inputs are read more than once: pass
+    written relations when they are costly to compute.
     """
     columns = intervals.columns
     pts = points.select(

@@ -66,18 +66,19 @@ def contact_cases(cases: DataFrame) -> DataFrame:
     return cases.filter(user_contact_case()).select("user_id", "created_time", "case_id")
 
 
-def _until(stop: str) -> Column:
-    return F.coalesce(F.col(stop), F.lit(FAR_FUTURE))
-
-
 def user_arms(assignments: DataFrame, cases: DataFrame) -> DataFrame:
     """Users, users with a case and cases after exposure, per arm of user-level experiments."""
-    exposed = user_buckets(assignments).select(
-        *ARM, "user_id", "min_assignment_time", _until("experiment_stop_time").alias("until")
+    return _user_arms(assignments, settle(contact_cases(cases), "contact-cases"))
+
+
+def _user_arms(assignments: DataFrame, found: DataFrame) -> DataFrame:
+    until = F.coalesce(F.col("experiment_stop_time"), F.lit(FAR_FUTURE))
+    exposed = settle(
+        user_buckets(assignments).select(*ARM, "user_id", "min_assignment_time", until.alias("until")), "user-exposure"
     )
     counted = count_in_intervals(
         exposed,
-        contact_cases(cases).filter(F.col("case_id").isNotNull()),
+        found.filter(F.col("case_id").isNotNull()),
         key="user_id", start="min_assignment_time", stop="until", at="created_time",
         measures={"n_cases": F.lit(1)},
     )
@@ -228,28 +229,56 @@ def _user_spans(members: DataFrame) -> DataFrame:
     )
 
 
-def _repeated_hits(members: DataFrame, spans: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Per request, one row for each case id among ``repeated`` that any of its users reached."""
-    # Counted like all cases, with user and case id as the key, so a much repeated id is not met row by row.
+def _repeated_reached(spans: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The repeated case ids that each user span reached, once each.
+
+    Counted like all cases, with user and case id as the key, so a much repeated id is not met row by row.
+    """
     owned = repeated.withColumn("case_key", F.struct("user_id", "case_id"))
-    reached = spans.join(owned.select("user_id", "case_id", "case_key").distinct(), "user_id").select(
-        *MEMBER, "experiment_start_time", "experiment_stop_time", "since", "until", "case_id", "case_key"
+    candidates = spans.join(owned.select("user_id", "case_id", "case_key").distinct(), "user_id").select(
+        *MEMBER, "experiment_start_time", "experiment_stop_time", "n_requests", "since", "until", "case_id", "case_key"
     )
-    hits = count_in_intervals(
-        reached, owned, key="case_key", start="since", stop="until", at="created_time", measures={"n": F.lit(1)}
-    ).filter("n > 0")
-    return (
+    counted = count_in_intervals(
+        candidates, owned, key="case_key", start="since", stop="until", at="created_time", measures={"n": F.lit(1)}
+    )
+    return counted.filter("n > 0").select(
+        *MEMBER, "experiment_start_time", "experiment_stop_time", "n_requests", "case_id"
+    )
+
+
+def _counted_again(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """Per request, how often adding up its users' ids counts an id again that another of its users reached.
+
+    Of the users sharing an id, the one with the most requests is only looked up on the requests of the
+    others, so a user on a large share of the requests is not paired with all of its ids there.
+    """
+    scope = ["experiment_id", "experiment_start_time", "experiment_stop_time", "case_id"]
+    shared = reached.groupBy(*scope).agg(
+        F.max(F.struct("n_requests", "user_id")).getField("user_id").alias("main_user"),
+        F.min("user_id").alias("lowest"),
+        F.max("user_id").alias("highest"),
+    ).filter("lowest < highest")
+    hits = reached.alias("h").join(shared.alias("s"), same_key("h", "s", scope)).select("h.*", "s.main_user")
+    hits = settle(hits, "shared-hits")
+    beside = (
         members.alias("m")
-        .join(hits.alias("h"), same_key("m", "h", MEMBER))
-        .select(
-            "m.experiment_id", "m.bucket_id", "h.experiment_start_time", "h.experiment_stop_time", "m.request_id",
-            "h.case_id",
-        )
-        .distinct()
-        .select(
-            *ARM, "request_id", F.lit(0).alias("users"), F.lit(0).alias("contacting"), F.lit(1).alias("n_ids"),
-            F.lit(0).alias("n_requests"),
-        )
+        .join(hits.filter("user_id <> main_user").alias("h"), same_key("m", "h", MEMBER))
+        .groupBy("m.bucket_id", "m.request_id", *[F.col(f"h.{c}").alias(c) for c in scope], "h.main_user")
+        .agg(F.count(F.lit(1)).alias("n_others"))
+    )
+    main_hits = hits.filter("user_id = main_user").select(*scope, "roles", F.lit(True).alias("main_reached"))
+    looked_up = beside.alias("k").join(
+        members.select("experiment_id", "bucket_id", "request_id", "user_id", "roles").alias("m"),
+        same_key("k", "m", ["experiment_id", "bucket_id", "request_id"]) & (F.col("k.main_user") == F.col("m.user_id")),
+        "left",
+    ).select("k.*", "m.roles")
+    found = looked_up.alias("k").join(
+        main_hits.alias("h"), same_key("k", "h", scope) & (F.col("k.roles") == F.col("h.roles")), "left"
+    )
+    again = F.col("n_others") + F.when(F.col("main_reached"), 1).otherwise(0) - 1
+    return found.select(
+        *[f"k.{c}" for c in [*ARM, "request_id"]],
+        F.lit(0).alias("users"), F.lit(0).alias("contacting"), (-again).alias("n_ids"), F.lit(0).alias("n_requests"),
     )
 
 
@@ -261,11 +290,15 @@ def request_arms(assignments: DataFrame, quotes: DataFrame, cases: DataFrame) ->
 
     A user's cases are counted once per experiment instead of once per request, and added up over the
     users of a request. That equals the distinct count as long as a case id stands on one row. Ids that
-    stand on several rows are set apart and counted distinctly, request by request.
+    stand on several rows are counted distinctly per user, and what users of one request share is taken
+    off again.
     """
+    return _request_arms(assignments, quotes, settle(contact_cases(cases), "contact-cases"))
+
+
+def _request_arms(assignments: DataFrame, quotes: DataFrame, found: DataFrame) -> DataFrame:
     members = settle(request_members(assignments, quotes), "request-members")
     spans = settle(_user_spans(members), "user-spans")
-    found = settle(contact_cases(cases), "contact-cases")
     repeated_ids = settle(
         found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("case_id").isNotNull() & (F.col("n") > 1)).select("case_id"),
@@ -273,13 +306,23 @@ def request_arms(assignments: DataFrame, quotes: DataFrame, cases: DataFrame) ->
     )
     flagged = found.join(repeated_ids.withColumn("repeated", F.lit(True)), "case_id", "left")
     counted_once = F.col("case_id").isNotNull() & F.col("repeated").isNull()
-
     per_span = count_in_intervals(
         spans, flagged, key="user_id", start="since", stop="until", at="created_time",
         measures={"n_rows": F.lit(1), "n_ids": F.when(counted_once, 1).otherwise(0)},
     )
+    any_repeated = not repeated_ids.isEmpty()
+    if any_repeated:
+        reached = settle(
+            _repeated_reached(spans, found.join(repeated_ids, "case_id", "left_semi")), "repeated-reached"
+        )
+        more = reached.groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("n_more"))
+        per_span = (
+            per_span.alias("s").join(more.alias("r"), same_key("s", "r", MEMBER), "left")
+            .select("s.*", F.coalesce("r.n_more", F.lit(0)).alias("n_more"))
+            .withColumn("n_ids", F.col("n_ids") + F.col("n_more"))
+        )
     request = [*ARM, "request_id"]
-    per_member = (
+    rows = (
         members.alias("m")
         .join(per_span.alias("s"), same_key("m", "s", MEMBER))
         .select(
@@ -288,9 +331,8 @@ def request_arms(assignments: DataFrame, quotes: DataFrame, cases: DataFrame) ->
             F.col("s.n_ids").alias("n_ids"), F.col("s.n_requests").alias("n_requests"),
         )
     )
-    rows = per_member
-    if not repeated_ids.isEmpty():
-        rows = rows.unionByName(_repeated_hits(members, spans, found.join(repeated_ids, "case_id", "left_semi")))
+    if any_repeated:
+        rows = rows.unionByName(_counted_again(members, reached))
     per_request = (
         rows.groupBy(*request)
         .agg(
@@ -313,7 +355,8 @@ def experiment_report(
     user_assignments: DataFrame, request_assignments: DataFrame, quotes: DataFrame, cases: DataFrame
 ) -> DataFrame:
     """Arms of request-level and of user-level experiments, tagged; counts widen to double."""
+    found = settle(contact_cases(cases), "contact-cases")
     return union_by_position(
-        tagged(request_arms(request_assignments, quotes, cases), assignment_type="request"),
-        tagged(user_arms(user_assignments, cases), assignment_type="user"),
+        tagged(_request_arms(request_assignments, quotes, found), assignment_type="request"),
+        tagged(_user_arms(user_assignments, found), assignment_type="user"),
     )
