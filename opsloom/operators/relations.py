@@ -15,11 +15,16 @@ def zero_fill(columns: Sequence[str], source: str | None = None) -> list[Column]
     return [F.coalesce(F.col(prefix + c), F.lit(0)).alias(c) for c in columns]
 
 
-def same_key(left: str, right: str, columns: Sequence[str]) -> Column:
-    """Null-safe equality of all ``columns`` of two aliased relations."""
+def same_key(left: str, right: str, columns: Sequence[str], *, never_null: Sequence[str] = ()) -> Column:
+    """Null-safe equality of all ``columns`` of two aliased relations.
+
+    Null-safe keys are hashed and sorted as two columns each, so those known to hold no NULL are
+    compared plainly.
+    """
     condition = F.lit(True)
     for c in columns:
-        condition = condition & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+        mine, theirs = F.col(f"{left}.{c}"), F.col(f"{right}.{c}")
+        condition = condition & (mine == theirs if c in never_null else mine.eqNullSafe(theirs))
     return condition
 
 

@@ -199,10 +199,10 @@ def exposure_weights(exposure: DataFrame) -> DataFrame:
         F.count_distinct("request_id").alias("num_user_exp_requests"),
     )
     weights = per_bucket.alias("k").join(
-        per_user.alias("u"), same_key("k", "u", ["experiment_id", "user_id"])
+        per_user.alias("u"), same_key("k", "u", ["experiment_id", "user_id"], never_null=["user_id"])
     ).select("k.*", "u.num_user_buckets", "u.num_user_exp_requests")
     return exposure.alias("e").join(
-        weights.alias("w"), same_key("e", "w", ["experiment_id", "bucket_id", "user_id"])
+        weights.alias("w"), same_key("e", "w", ["experiment_id", "bucket_id", "user_id"], never_null=["user_id"])
     ).select("e.*", "w.num_user_buckets", "w.num_user_exp_requests", "w.num_user_bucket_requests")
 
 
@@ -246,6 +246,10 @@ def _repeated_reached(spans: DataFrame, repeated: DataFrame) -> DataFrame:
     )
 
 
+def _same_member(left: str, right: str) -> Column:
+    return same_key(left, right, MEMBER, never_null=["user_id", "roles"])
+
+
 def _counted_again(members: DataFrame, reached: DataFrame) -> DataFrame:
     """Per request, how often adding up its users' ids counts an id again that another of its users reached.
 
@@ -262,14 +266,14 @@ def _counted_again(members: DataFrame, reached: DataFrame) -> DataFrame:
     hits = settle(hits, "shared-hits")
     beside = (
         members.alias("m")
-        .join(hits.filter("user_id <> main_user").alias("h"), same_key("m", "h", MEMBER))
+        .join(hits.filter("user_id <> main_user").alias("h"), _same_member("m", "h"))
         .groupBy("m.bucket_id", "m.request_id", *[F.col(f"h.{c}").alias(c) for c in scope], "h.main_user")
         .agg(F.count(F.lit(1)).alias("n_others"))
     )
     main_hits = hits.filter("user_id = main_user").select(*scope, "roles", F.lit(True).alias("main_reached"))
     looked_up = beside.alias("k").join(
         members.select("experiment_id", "bucket_id", "request_id", "user_id", "roles").alias("m"),
-        same_key("k", "m", ["experiment_id", "bucket_id", "request_id"]) & (F.col("k.main_user") == F.col("m.user_id")),
+        same_key("k", "m", ["experiment_id", "bucket_id", "request_id"], never_null=["request_id"]) & (F.col("k.main_user") == F.col("m.user_id")),
         "left",
     ).select("k.*", "m.roles")
     found = looked_up.alias("k").join(
@@ -317,14 +321,14 @@ def _request_arms(assignments: DataFrame, quotes: DataFrame, found: DataFrame) -
         )
         more = reached.groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("n_more"))
         per_span = (
-            per_span.alias("s").join(more.alias("r"), same_key("s", "r", MEMBER), "left")
+            per_span.alias("s").join(more.alias("r"), _same_member("s", "r"), "left")
             .select("s.*", F.coalesce("r.n_more", F.lit(0)).alias("n_more"))
             .withColumn("n_ids", F.col("n_ids") + F.col("n_more"))
         )
     request = [*ARM, "request_id"]
     rows = (
         members.alias("m")
-        .join(per_span.alias("s"), same_key("m", "s", MEMBER))
+        .join(per_span.alias("s"), _same_member("m", "s"))
         .select(
             "m.experiment_id", "m.bucket_id", "s.experiment_start_time", "s.experiment_stop_time", "m.request_id",
             F.lit(1).alias("users"), F.when(F.col("s.n_rows") > 0, 1).otherwise(0).alias("contacting"),
