@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from checks import standins as si
 from checks.registry import query
 from checks.standins import Standins
+from opsloom.functions import calendar as cal
 from opsloom.operators.generators import month_spine
+from opsloom.operators.relations import zero_fill
 from opsloom.plans import activity, agents, cases, chat, crm, experiments, phone, productivity, profitability, weekly
 from opsloom.sources.tables import present
 
@@ -20,9 +22,19 @@ ORDERS = {"as_of": si.ORDERS_AS_OF}
 # --- activity -------------------------------------------------------------------------------------
 
 
-@query("month_spine", relation="month_spine")
+@query(
+    "month_spine",
+    sql="""SELECT index_month, count(bid_id) AS requests FROM month_spine LEFT JOIN (
+             SELECT bid_id, cast(date_trunc('month', request_create_time) AS date) AS month FROM contacts) c
+           ON month = index_month GROUP BY 1""",
+)
 def _(t: Standins) -> DataFrame:
-    return month_spine(t.spark, si.PANEL_START, si.ORDERS_AS_OF)
+    """Every month of the range with its requests."""
+    monthly = t("contacts").groupBy(
+        cal.month_of(cal.utc_date(F.col("request_create_time"))).alias("index_month")
+    ).agg(F.count("bid_id").alias("requests"))
+    spine = month_spine(t.spark, si.PANEL_START, si.ORDERS_AS_OF)
+    return spine.join(monthly, "index_month", "left").select("index_month", *zero_fill(["requests"]))
 
 
 @query("monthly_activity", relation="monthly_activity")

@@ -26,14 +26,16 @@ CUT = date(1998, 6, 1)
 @query(
     "pred_compare",
     sql="""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority = '2-HIGH'
-           AND o_totalprice >= 1000 AND o_totalprice < 300000 AND o_custkey > 5 AND o_orderkey <= 1000000""",
+           AND o_totalprice >= 1000 AND o_totalprice < 300000 AND o_orderdate > TIMESTAMP '1996-02-29 00:00:00'
+           AND o_orderdate <= TIMESTAMP '1998-06-01 00:00:00'""",
 )
 def _(t: Standins) -> DataFrame:
-    price = F.col("o_totalprice")
+    price, day = F.col("o_totalprice"), F.col("o_orderdate")
     return (
         t.driver("orders")
         .filter((F.col("o_orderstatus") != "P") & (F.col("o_orderpriority") == "2-HIGH"))
-        .filter((price >= 1000) & (price < 300000) & (F.col("o_custkey") > 5) & (F.col("o_orderkey") <= 1000000))
+        .filter((price >= 1000) & (price < 300000))
+        .filter((day > F.lit(datetime(1996, 2, 29))) & (day <= F.lit(cal.midnight(CUT))))
         .select("o_orderkey", "o_orderpriority")
     )
 
@@ -96,9 +98,17 @@ def _(t: Standins) -> DataFrame:
     return t.driver("lineitem").filter(F.col("l_quantity").between(10, 12)).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("pred_like_prefix", sql="SELECT id, masterlabel FROM presence_status WHERE masterlabel LIKE 'Online%'")
+@query(
+    "pred_like_prefix",
+    sql="""SELECT ownerid, createddate, masterlabel FROM presence JOIN presence_status ON id = servicepresencestatusid
+           WHERE masterlabel LIKE 'Online%'""",
+)
 def _(t: Standins) -> DataFrame:
-    return t("presence_status").filter(F.col("masterlabel").startswith("Online")).select("id", "masterlabel")
+    online = t("presence_status").filter(F.col("masterlabel").startswith("Online"))
+    return (
+        t("presence").join(online, F.col("servicepresencestatusid") == F.col("id"))
+        .select("ownerid", "createddate", "masterlabel")
+    )
 
 
 @query("pred_lookback", sql=f"SELECT event_id FROM events WHERE ts::date >= {SHORT}")

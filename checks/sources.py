@@ -62,7 +62,7 @@ def _(t: Standins) -> DataFrame:
     inbox, target = fresh_dir(t.spark, "inbox"), fresh_dir(t.spark, "status")
     _deliver(t, inbox, "status", "log")
     _deliver(t, inbox, "call", "log")
-    feeds.load_feed(t.spark, inbox, "status", target)
+    feeds.load_feeds(t.spark, inbox, {"status": target, "call": fresh_dir(t.spark, "calls")})
     return tables.read_dataset(t.spark, target).select(
         "agent", "date", "timestamp", "state", "reason_code", "agent_id", "skill_availability"
     )

@@ -28,11 +28,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, else a folder of our own (tests only)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Only a local master may go without: it gets a temporary folder of its own. On a cluster a folder of
+    one machine would lose data with that machine, so there the setting is required.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and spark.conf.get("spark.master").startswith("local"):
+        folder = os.environ.setdefault("OPSLOOM_TEST_SHARED_DIR", tempfile.mkdtemp(prefix="opsloom-"))
     if folder is None:
-        folder = os.environ.get("OPSLOOM_TEST_SHARED_DIR") or tempfile.mkdtemp(prefix="opsloom-")
-        os.environ["OPSLOOM_TEST_SHARED_DIR"] = folder
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 

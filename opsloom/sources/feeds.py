@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Columns of the agent-status feed, in file order.
@@ -83,3 +85,9 @@ def load_feed(
 ) -> None:
     """Append a feed's files to a parquet dataset; made on first use. Loading a file twice doubles its rows."""
     read_feed(spark, inbox, feed, quoted_newlines=quoted_newlines).write.mode("append").parquet(target)
+
+
+def load_feeds(spark: SparkSession, inbox: str, targets: Mapping[str, str], *, quoted_newlines: bool = True) -> None:
+    """Append every feed of the inbox to its dataset: ``{"status": path, "call": path}``."""
+    for feed, target in targets.items():
+        load_feed(spark, inbox, feed, target, quoted_newlines=quoted_newlines)
