@@ -180,9 +180,12 @@ def _(t: Standins) -> DataFrame:
     return cases.chat_case_detail(chat_stints(t), t("cases"), t("case_links"), **SHORT)
 
 
-query("case_detail", relation="phone_case_detail")(
-    lambda t: cases.phone_case_detail(phone_stints(t), t("cases"), t("case_links"), **SHORT)
-)
+@query("case_detail", relation="case_detail")
+def _(t: Standins) -> DataFrame:
+    """The general form: phone agents with times of the second zone and the long look-back."""
+    return cases.case_detail(
+        phone_stints(t), t("cases"), t("case_links"), zone_suffix="pht", stint_columns=agents.PHONE_STINT, **LONG
+    )
 
 
 # --- productivity and weekly board ----------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -35,7 +35,7 @@ def _(t: Standins) -> DataFrame:
         t.driver("orders")
         .filter((F.col("o_orderstatus") != "P") & (F.col("o_orderpriority") == "2-HIGH"))
         .filter((price >= 1000) & (price < 300000))
-        .filter((day > F.lit(datetime(1996, 2, 29))) & (day <= F.lit(cal.midnight(CUT))))
+        .filter((day > cal.midnight(date(1996, 2, 29))) & (day <= cal.midnight(CUT)))
         .select("o_orderkey", "o_orderpriority")
     )
 
@@ -114,7 +114,7 @@ def _(t: Standins) -> DataFrame:
 @query("pred_lookback", sql=f"SELECT event_id FROM events WHERE ts::date >= {SHORT}")
 def _(t: Standins) -> DataFrame:
     lower = cal.days_before(si.EVENTS_AS_OF, si.SHORT_LOOK_BACK)
-    return t.driver("events").filter(F.col("ts") >= F.lit(cal.midnight(lower))).select("event_id")
+    return t.driver("events").filter(F.col("ts") >= cal.midnight(lower)).select("event_id")
 
 
 @query(
@@ -664,7 +664,7 @@ def _(t: Standins) -> DataFrame:
 )
 def _(t: Standins) -> DataFrame:
     recent = (
-        t.driver("orders").filter(F.col("o_orderdate") >= F.lit(datetime(2001, 6, 1))).groupBy("o_custkey")
+        t.driver("orders").filter(F.col("o_orderdate") >= cal.midnight(date(2001, 6, 1))).groupBy("o_custkey")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
     )
     joined = t.driver("customer").join(recent, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -868,9 +868,9 @@ def _(t: Standins) -> DataFrame:
             AND o_orderdate <= coalesce(CASE WHEN o_orderstatus = 'F' THEN {ORDERS_AS_OF}::timestamp END, TIMESTAMP '2999-01-01')""",
 )
 def _(t: Standins) -> DataFrame:
-    stop = F.when(F.col("o_orderstatus") == "F", F.lit(cal.midnight(si.ORDERS_AS_OF)))
+    stop = F.when(F.col("o_orderstatus") == "F", cal.midnight(si.ORDERS_AS_OF))
     return (
-        t.driver("orders").filter(F.col("o_orderdate") >= F.lit(cal.midnight(CUT)))
+        t.driver("orders").filter(F.col("o_orderdate") >= cal.midnight(CUT))
         .filter(cond.open_until(F.col("o_orderdate"), stop)).select("o_orderkey")
     )
 

@@ -6,7 +6,7 @@ are reproducible and the bounds reach Catalyst as literals.
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, functions as F
 
@@ -17,7 +17,7 @@ US_DATE = "M/d/yyyy"
 ISO_DATE = "yyyy-M-d"
 
 # Fixed stand-in for "never stops".
-FAR_FUTURE = datetime(2999, 1, 1)
+FAR_FUTURE = "2999-01-01 00:00:00"
 
 
 def parse_us_stamp(text: Column) -> Column:
@@ -77,16 +77,30 @@ def months_before(day: Column, months: int) -> Column:
     return F.add_months(day, -months)
 
 
-def midnight(day: date) -> datetime:
+def stamp(text: str) -> Column:
+    """Literal UTC wall clock. Python datetimes are not passed to ``lit``: that would go through the
+    driver machine's own zone."""
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def far_future() -> Column:
+    return stamp(FAR_FUTURE)
+
+
+def midnight(day: date) -> Column:
     """First instant of a UTC day: ``ts >= midnight(d)`` is ``date(ts) >= d`` in a pushable form."""
-    return datetime.combine(day, time())
+    return stamp(f"{day} 00:00:00")
 
 
-def zone_floor(day: date) -> datetime:
+def zone_floor(day: date) -> Column:
     """An instant at or before ``day`` begins in every zone; a pushable superset of a local-day filter."""
-    return midnight(day) - timedelta(days=1)
+    return midnight(day - timedelta(days=1))
+
+
+def millis(day: date) -> int:
+    """Epoch milliseconds of a day's first UTC instant."""
+    return (day - date(1970, 1, 1)).days * 86_400_000
 
 
-def millis(ts: datetime) -> int:
-    """Epoch milliseconds of a UTC wall clock."""
-    return int((ts - datetime(1970, 1, 1)).total_seconds() * 1000)
+def zone_floor_millis(day: date) -> int:
+    return millis(day - timedelta(days=1))

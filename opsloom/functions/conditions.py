@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, functions as F
 
-from opsloom.functions.calendar import FAR_FUTURE
+from opsloom.functions.calendar import far_future
 
 # The contact channels that count as support contacts.
 CHANNELS = ("Phone", "Email", "Chat", "SMS", "Directly Question", "In-Product")
@@ -45,14 +45,14 @@ def since(day: Column, lower: date) -> Column:
     return day >= F.lit(lower)
 
 
-def either_since(first: Column, second: Column, lower) -> Column:
+def either_since(first: Column, second: Column, lower: Column) -> Column:
     """Either of two moments on or after ``lower``."""
-    return (first >= F.lit(lower)) | (second >= F.lit(lower))
+    return (first >= lower) | (second >= lower)
 
 
 def open_until(moment: Column, stop: Column) -> Column:
     """``moment <= stop`` where a missing stop never ends."""
-    return moment <= F.coalesce(stop, F.lit(FAR_FUTURE))
+    return moment <= F.coalesce(stop, far_future())
 
 
 def countable_case(

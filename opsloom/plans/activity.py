@@ -36,7 +36,7 @@ def _by_month(contacts: DataFrame, markets: DataFrame, start: date) -> DataFrame
             F.coalesce(F.col("m.im_enabled_market"), F.lit(0)).alias("im_enabled_market"),
             F.coalesce(F.col("m.weight"), F.lit(1)).alias("weight"),
             F.col("c.first_customer_contact_time").isNotNull().alias("contacted"),
-            F.coalesce(F.col("c.request_create_time") >= F.lit(midnight(start)), F.lit(False)).alias("in_scope"),
+            F.coalesce(F.col("c.request_create_time") >= midnight(start), F.lit(False)).alias("in_scope"),
             F.col("c.revenue").alias("revenue"),
         )
     )

@@ -90,14 +90,14 @@ def presence_time(presence: DataFrame, statuses: DataFrame, *, as_of: date, look
     )
 
 
-def survey_filter(lower) -> Column:
+def survey_filter(lower: Column) -> Column:
     """Created in the look-back, or answered in it and not from inside the product.
 
     The origin rule binds to the second half only, so in-product surveys created in the look-back count.
     """
     created, answered = F.col("csat_created_time"), F.col("csat_response_time")
     outside_product = not_in_or_null(F.col("csat_case_origin"), ["In-Product"])
-    return (created >= F.lit(lower)) | ((answered >= F.lit(lower)) & outside_product)
+    return (created >= lower) | ((answered >= lower) & outside_product)
 
 
 def survey_scores(surveys: DataFrame, *, as_of: date, look_back: int) -> DataFrame:
@@ -114,8 +114,7 @@ def survey_scores(surveys: DataFrame, *, as_of: date, look_back: int) -> DataFra
 
 def ledger(credit_log: DataFrame, *, as_of: date, look_back: int) -> DataFrame:
     """Refunds and grants per performing user and UTC day."""
-    lower = midnight(days_before(as_of, look_back))
-    recent = credit_log.filter(F.col("cre_timestamp") >= F.lit(millis(lower)))
+    recent = credit_log.filter(F.col("cre_timestamp") >= F.lit(millis(days_before(as_of, look_back))))
     return ledger_measures(recent, utc_date(from_millis(F.col("cre_timestamp"))).alias("cre_date"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opsloom.functions.calendar import FAR_FUTURE, from_millis
+from opsloom.functions.calendar import far_future, from_millis
 from opsloom.functions.conditions import open_until, user_contact_case
 from opsloom.functions.measures import count_when
 from opsloom.operators.intervals import count_in_intervals
@@ -72,7 +72,7 @@ def user_arms(assignments: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _user_arms(assignments: DataFrame, found: DataFrame) -> DataFrame:
-    until = F.coalesce(F.col("experiment_stop_time"), F.lit(FAR_FUTURE))
+    until = F.coalesce(F.col("experiment_stop_time"), far_future())
     exposed = settle(
         user_buckets(assignments).select(*ARM, "user_id", "min_assignment_time", until.alias("until")), "user-exposure"
     )
@@ -223,7 +223,7 @@ def _user_spans(members: DataFrame) -> DataFrame:
     return bounded.select(
         "experiment_id", "user_id", "roles", "n_requests",
         from_millis(F.col("first_time")).alias("since"),
-        F.coalesce(stop, F.lit(FAR_FUTURE)).alias("until"),
+        F.coalesce(stop, far_future()).alias("until"),
         from_millis(F.col("experiment_start_time")).alias("experiment_start_time"),
         stop.alias("experiment_stop_time"),
     )

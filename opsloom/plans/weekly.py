@@ -34,7 +34,7 @@ def weekly_visitors(visits: DataFrame, *, start: date = BOARD_START, partition:
 
 def weekly_requests(requests: DataFrame, *, start: date = BOARD_START) -> DataFrame:
     return (
-        requests.filter(F.col("create_time") >= F.lit(midnight(start)))
+        requests.filter(F.col("create_time") >= midnight(start))
         .groupBy(week_of(utc_date(F.col("create_time"))).alias("week"))
         .agg(F.count("request_id").alias("requests"))
         .select("week", "requests", (F.col("requests") / REQUEST_UNIT).alias("requests_100"))
@@ -44,7 +44,7 @@ def weekly_requests(requests: DataFrame, *, start: date = BOARD_START) -> DataFr
 def weekly_contacts(contacts: DataFrame, *, start: date = BOARD_START) -> DataFrame:
     moment = F.col("first_customer_contact_time")
     return (
-        contacts.filter(moment >= F.lit(midnight(start)))
+        contacts.filter(moment >= midnight(start))
         .groupBy(week_of(utc_date(moment)).alias("week"))
         .agg(F.count("bid_id").alias("contacts"))
     )
@@ -62,7 +62,7 @@ def weekly_case_mix(cases: DataFrame, *, start: date = BOARD_START) -> DataFrame
         cases.filter(
             not_in_or_null(F.col("case_category"), EXCLUDED_CATEGORIES)
             & channel.isin(list(CHANNELS))
-            & (F.col("created_time") >= F.lit(midnight(start)))
+            & (F.col("created_time") >= midnight(start))
         )
         .groupBy(week_of(utc_date(F.col("created_time"))).alias("week"))
         .agg(
@@ -101,7 +101,7 @@ def weekly_top_two(cases: DataFrame, *, start: date = SURVEY_START) -> DataFrame
         cases.filter(
             not_in_or_null(F.col("case_category"), EXCLUDED_CATEGORIES)
             & in_not_null(channel, CHANNELS)
-            & (F.col("csat_response_time") >= F.lit(midnight(start)))
+            & (F.col("csat_response_time") >= midnight(start))
         )
         .groupBy(week_of(utc_date(F.col("csat_response_time"))).alias("week"))
         .agg(F.count(score).alias("ltc_surveys"), *[top_two_rate(score, s).alias(n) for n, s in scopes])

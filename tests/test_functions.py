@@ -1,5 +1,6 @@
 """Column helpers, with the NULL, zone and rounding cases that are easy to get wrong."""
 
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -127,4 +128,20 @@ def test_zone_floor_never_cuts_a_local_day(make):
     df = make("t timestamp_ntz", *hours)
     for zone in ("America/Denver", "Asia/Manila", "Pacific/Kiritimati", "Pacific/Pago_Pago"):
         kept = df.filter(cal.local_date(F.col("t"), zone) >= F.lit(lower))
-        assert kept.filter(F.col("t") < F.lit(cal.zone_floor(lower))).isEmpty()
+        assert kept.filter(F.col("t") < cal.zone_floor(lower)).isEmpty()
+
+
+def test_literals_do_not_depend_on_the_machine_zone(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "America/Denver")
+    time.tzset()
+    try:
+        got = spark.range(1).select(
+            cal.midnight(date(2018, 7, 1)).cast("string").alias("m"), cal.zone_floor(date(2018, 7, 1)).cast("string").alias("z"),
+            F.lit(date(2018, 7, 1)).cast("string").alias("d"), cal.from_millis(F.lit(cal.millis(date(2018, 7, 1)))).cast("string").alias("i"),
+        )
+        assert one(got) == {
+            "m": "2018-07-01 00:00:00", "z": "2018-06-30 00:00:00", "d": "2018-07-01", "i": "2018-07-01 00:00:00",
+        }
+    finally:
+        monkeypatch.undo()
+        time.tzset()
