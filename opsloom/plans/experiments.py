@@ -93,14 +93,17 @@ def request_members(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
     """One row per experiment, bucket, request and user, with the user's roles on the request.
 
     Carries how often the user stands in each role and the request's first and last assignment and stop
-    time, in epoch milliseconds. Assignments and quotes are both reduced before they meet.
+    time, in epoch milliseconds. ``leads`` marks one bucket of each request in the experiment, so that
+    requests can be counted without a distinct. Assignments and quotes are both reduced before they meet.
     """
+    # At most one row per bucket in each partition of this window.
+    buckets = Window.partitionBy("experiment_id", "request_id").orderBy("bucket_id")
     assigned = assignments.groupBy("experiment_id", "bucket_id", "request_id").agg(
         F.min("assignment_time").alias("first_time"),
         F.max("assignment_time").alias("last_time"),
         F.max("experiment_stop_time").alias("stop_time"),
         F.count(F.lit(1)).alias("n_assigned"),
-    )
+    ).withColumn("leads", F.when(F.row_number().over(buckets) == 1, 1).otherwise(0))
     users = F.array(
         *[
             F.struct(F.lit(role).alias("role"), F.col(column).cast("bigint").alias("user_id"))
@@ -211,7 +214,7 @@ def _user_spans(members: DataFrame) -> DataFrame:
     kinds = [*ROLES, "both"]
     users = members.groupBy("experiment_id", "user_id").agg(
         F.min("first_time").alias("first_time"),
-        F.count_distinct("request_id").alias("n_requests"),
+        F.sum("leads").alias("n_requests"),
         *[F.bool_or(F.col("roles") == kind).alias(f"is_{kind}") for kind in kinds],
     )
     present = F.array_compact(F.array(*[F.when(F.col(f"is_{kind}"), F.lit(kind)) for kind in kinds]))
@@ -316,9 +319,8 @@ def _request_arms(assignments: DataFrame, quotes: DataFrame, found: DataFrame) -
     )
     any_repeated = not repeated_ids.isEmpty()
     if any_repeated:
-        reached = settle(
-            _repeated_reached(spans, found.join(repeated_ids, "case_id", "left_semi")), "repeated-reached"
-        )
+        repeated = settle(found.join(repeated_ids, "case_id", "left_semi"), "repeated-cases")
+        reached = settle(_repeated_reached(spans, repeated), "repeated-reached")
         more = reached.groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("n_more"))
         per_span = (
             per_span.alias("s").join(more.alias("r"), _same_member("s", "r"), "left")
