@@ -35,23 +35,31 @@ def spread_over_stints(
     measures: Sequence[str],
     start: str = "date_team_start",
     end: str = "date_team_end",
+    agent_in_attributes: bool = True,
 ) -> DataFrame:
     """Attach measures already summed per agent and day to the stints that cover the day.
 
     ``daily`` holds one row per agent and day, so a hot agent reaches this join as a few rows, however
-    many raw rows it has. Equal stints listed twice are summed together, as a join of raw rows would.
+    many raw rows it has. Equal stints listed several times are counted first and multiply the sums, as
+    a join of raw rows would. When ``attributes`` determine the agent the result needs no second
+    aggregation; otherwise (``agent_in_attributes=False``) the agents of equal attributes are summed.
     """
+    listed = stints.groupBy(*attributes, stint_agent.alias("_agent")).agg(F.count(F.lit(1)).alias("_times"))
     covered = join_in_interval(
-        stints.alias("s"),
+        listed.alias("s"),
         daily.alias("d"),
-        key=stint_agent == F.col(f"d.{agent}"),
+        key=F.col("s._agent") == F.col(f"d.{agent}"),
         at=F.col(f"d.{day}"),
         start=F.col(f"s.{start}"),
         end=F.col(f"s.{end}"),
+    ).select(
+        *[F.col(f"s.{a}").alias(a) for a in attributes],
+        F.col(f"d.{day}").alias(day),
+        *[(F.col(f"d.{m}") * F.col("s._times")).alias(m) for m in measures],
     )
-    return covered.groupBy(*[F.col(f"s.{a}").alias(a) for a in attributes], F.col(f"d.{day}").alias(day)).agg(
-        *[F.sum(F.col(f"d.{m}")).alias(m) for m in measures]
-    )
+    if agent_in_attributes:
+        return covered
+    return covered.groupBy(*attributes, day).agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def count_in_intervals(

@@ -75,10 +75,15 @@ def test_spread_sums_equal_stints_together_and_overlaps_apart(make):
         ("x", "t2", date(2020, 1, 5), date(2020, 1, 9)),
     )
     daily = make("who string, day date, n int", ("x", date(2020, 1, 2), 10), ("x", date(2020, 1, 6), 1), ("y", date(2020, 1, 6), 5))
-    got = spread_over_stints(
-        daily, stints, agent="who", stint_agent=F.col("s.a"), day="day", attributes=["a", "team"], measures=["n"]
-    )
-    assert rows(got) == [("x", "t1", date(2020, 1, 2), 20), ("x", "t1", date(2020, 1, 6), 2), ("x", "t2", date(2020, 1, 6), 1)]
+    start_end = ["date_team_start", "date_team_end"]
+    for agent in (["a"], []):
+        got = spread_over_stints(
+            daily, stints, agent="who", stint_agent=F.col("a"), day="day", attributes=[*agent, "team", *start_end],
+            measures=["n"], agent_in_attributes=bool(agent),
+        )
+        assert rows(got, "team", "day", "n") == [
+            ("t1", date(2020, 1, 2), 20), ("t1", date(2020, 1, 6), 2), ("t2", date(2020, 1, 6), 1),
+        ]
 
 
 def test_group_values_match_null_keys_and_count_distinct(make):
