@@ -98,3 +98,30 @@ def test_view_table_and_sorted_output(spark, make, tmp_path):
     assert spark.table(name).count() == 6
     assert tables.select_columns(df, ["b"]).columns == ["b"]
     assert df.filter(F.col("a") == 9).isEmpty()
+
+
+def test_stream_waits_for_the_first_file(spark, inbox, tmp_path):
+    target, state = str(tmp_path / "target"), str(tmp_path / "state")
+    write_feed(inbox, "Stat 1.csv", "status", {"agent": "a"})
+    assert load_arrived(spark, inbox, "call", target, state) == 0
+    write_feed(inbox, "Call 1.csv", "call", {"call_id": "1"})
+    assert load_arrived(spark, inbox, "call", target, state) == 1
+    assert rows(tables.read_dataset(spark, target), "call_id") == [("1",)]
+
+
+def test_broken_file_stops_the_stream_and_loads_nothing_of_its_batch(spark, inbox, tmp_path):
+    target, state = str(tmp_path / "target"), str(tmp_path / "state")
+    write_feed(inbox, "Stat 1.csv", "status", {"agent": "a"}, width=40)
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|STREAM_FAILED"):
+        load_arrived(spark, inbox, "status", target, state)
+    write_feed(inbox, "Stat 1.csv", "status", {"agent": "a"})  # repaired in place
+    load_arrived(spark, inbox, "status", target, state)
+    assert rows(tables.read_dataset(spark, target), "agent") == [("a",)]
+
+
+def test_all_feeds_of_an_inbox(spark, inbox, tmp_path):
+    write_feed(inbox, "Stat 1.csv", "status", {"agent": "a"})
+    write_feed(inbox, "Call 1.csv", "call", {"call_id": "1"}, {"call_id": "2"})
+    targets = {feed: str(tmp_path / feed) for feed in feeds.FEEDS}
+    feeds.load_feeds(spark, inbox, targets)
+    assert {f: tables.read_dataset(spark, t).count() for f, t in targets.items()} == {"status": 1, "call": 2}
