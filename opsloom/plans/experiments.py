@@ -242,7 +242,7 @@ def _repeated_reached(spans: DataFrame, repeated: DataFrame) -> DataFrame:
         *MEMBER, "experiment_start_time", "experiment_stop_time", "n_requests", "since", "until", "case_id", "case_key"
     )
     counted = count_in_intervals(
-        candidates, owned, key="case_key", start="since", stop="until", at="created_time", measures={"n": F.lit(1)}
+        settle(candidates, "repeated-candidates"), owned, key="case_key", start="since", stop="until", at="created_time", measures={"n": F.lit(1)}
     )
     return counted.filter("n > 0").select(
         *MEMBER, "experiment_start_time", "experiment_stop_time", "n_requests", "case_id"
