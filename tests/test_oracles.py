@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import difference, oracle_connection
+from checks.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 DATASETS = [n for n in QUERIES if n in (
     "activity_panel", "monthly_activity", "first_activity", "stints_weekly", "agent_scorecard", "agent_scorecard_cloned",
     "phone_case_detail", "chat_case_detail", "team_productivity", "weekly_board", "user_buckets", "experiment_user_arms",
