@@ -18,6 +18,7 @@ from opsloom.llm.mixing import mix
 from opsloom.llm.ngrams import near_components
 from opsloom.llm.personal import find_personal
 from opsloom.llm.quality import with_quality
+from opsloom.llm.substrings import remove_repeats
 from opsloom.session import fresh_dir
 
 #: Folder of the public vocabularies; a parameter of the session where it lies elsewhere.
@@ -51,6 +52,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
@@ -71,7 +76,7 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_quality, op4_licences, op5_ngram_join, op7_mixing, op8_fingerprints, op9_warc, op10_personal)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_quality, op4_licences, op5_ngram_join, op6_suffix_dedup, op7_mixing, op8_fingerprints, op9_warc, op10_personal)}
 
 ORACLES = {
     "op1_exact_dedup": """
