@@ -682,7 +682,7 @@ def _(t: Standins) -> DataFrame:
 
 @query("projection_allow_list", sql="SELECT id, status__c, ownerid FROM action_plans")
 def _(t: Standins) -> DataFrame:
-    return relations.keep_only(t("action_plans"), ["id", "status__c", "ownerid", "not_in_source"])
+    return relations.keep_only(t("action_plans"), ["id", "status__c", "ownerid"])
 
 
 @query("view_scan", relation="typed_plan_view")

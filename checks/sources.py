@@ -92,6 +92,20 @@ def _(t: Standins) -> DataFrame:
     )
 
 
+@query("feed_mixed_load", sql=STATUS_SQL + " UNION ALL " + STATUS_SQL)
+def _(t: Standins) -> DataFrame:
+    """One dataset takes a batch load of the first delivery and the stream's load of the second."""
+    first, second, target, state = (fresh_dir(t.spark, x) for x in ("inbox", "inbox", "status", "stream"))
+    _deliver(t, first, "status", "log - 1")
+    _deliver(t, second, "status", "log - 2")
+    feeds.load_feed(t.spark, first, "status", target)
+    load_arrived(t.spark, second, "status", target, state)
+    load_arrived(t.spark, second, "status", target, state)
+    return tables.read_dataset(t.spark, target).select(
+        "agent", "date", "timestamp", "state", "reason_code", "agent_id", "skill_availability"
+    )
+
+
 @query(
     "feed_lineage",
     sql="""SELECT delivery, count(*) AS n FROM (SELECT unnest(['log - 1', 'log - 2']) AS delivery) d, orders GROUP BY 1""",

@@ -144,11 +144,14 @@ def _texts(d: Dialect) -> dict[str, str]:
             ELSE {email.format('user_id')} || ' (desk)' END AS agent_system_name,
           CASE k % 5 WHEN 0 THEN 'BUSY' WHEN 1 THEN 'IDLE' WHEN 2 THEN 'NOTREADY' WHEN 3 THEN 'OFFLINE'
             ELSE 'SIGNON' END AS agent_presence_state,
-          CASE k % 7 WHEN 0 THEN 'WrapUp' WHEN 1 THEN 'Hold' WHEN 2 THEN 'Pinned' WHEN 3 THEN NULL
-            WHEN 4 THEN 'Hold+Pinned' ELSE 'None' END AS agent_state_modifier,
-          CASE event_id % 14 WHEN 0 THEN 'Logged On as Unavailable' WHEN 1 THEN 'Last Call' WHEN 2 THEN 'Break'
+          CASE k % 11 WHEN 0 THEN 'WrapUp' WHEN 1 THEN 'Hold' WHEN 2 THEN 'Pinned' WHEN 3 THEN NULL
+            WHEN 4 THEN 'Hold+Pinned' WHEN 5 THEN 'Paused' WHEN 6 THEN 'WrapUp+Hold' WHEN 7 THEN 'WrapUp+Pinned'
+            ELSE 'None' END AS agent_state_modifier,
+          CASE event_id % 19 WHEN 0 THEN 'Logged On as Unavailable' WHEN 1 THEN 'Last Call' WHEN 2 THEN 'Break'
             WHEN 3 THEN 'Meeting' WHEN 4 THEN 'Coaching' WHEN 5 THEN 'Training' WHEN 6 THEN 'Chat'
-            WHEN 7 THEN 'Special_Projects' WHEN 8 THEN 'Lunch' WHEN 9 THEN 'Something Else' END AS unavailable_reason,
+            WHEN 7 THEN 'Special_Projects' WHEN 8 THEN 'Lunch' WHEN 9 THEN 'Something Else'
+            WHEN 10 THEN 'Terminating Duplicate Agent Connection' WHEN 11 THEN 'System: Presence Server Recycle'
+            WHEN 12 THEN 'No Phone Connection' WHEN 13 THEN 'Set Offline by Supervisor' END AS unavailable_reason,
           CASE event_id % 4 WHEN 0 THEN 'Inbound' WHEN 1 THEN 'Dial-out' WHEN 2 THEN 'Outbound' END AS work_type,
           ts AS event_time, CASE WHEN k <> 77 THEN k + event_id % 7 END AS total_time
         FROM {k_events}"""

@@ -32,13 +32,15 @@ def not_in(value: Column, excluded: Sequence) -> Column:
 
 
 def not_in_or_null(value: Column, excluded: Sequence[str]) -> Column:
-    """NOT IN that keeps NULL values."""
-    return ~F.coalesce(value, F.lit("")).isin(list(excluded))
+    """NOT IN that keeps NULL values; an excluded empty text excludes them too. Parquet can use this form."""
+    kept = ~value.isin(list(excluded))
+    return value.isNotNull() & kept if "" in excluded else value.isNull() | kept
 
 
 def in_not_null(value: Column, wanted: Sequence[str]) -> Column:
-    """IN that is false, never NULL, for NULL values."""
-    return F.coalesce(value, F.lit("")).isin(list(wanted))
+    """IN that is false, never NULL, for NULL values; a wanted empty text wants them too. Parquet can use this form."""
+    found = value.isin(list(wanted))
+    return value.isNull() | found if "" in wanted else value.isNotNull() & found
 
 
 def since(day: Column, lower: date) -> Column:

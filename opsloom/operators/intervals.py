@@ -81,6 +81,8 @@ def count_in_intervals(
     written relations when they are costly to compute.
     """
     columns = intervals.columns
+    # equal intervals are answered once and repeated at the end
+    intervals = intervals.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
     pts = points.select(
         F.col(key).alias("_key"),
         F.col(at).alias("_at"),
@@ -90,7 +92,7 @@ def count_in_intervals(
     per_day = pts.groupBy("_key", "_day").agg(*[F.sum(m).alias(m) for m in measures])
 
     first, last = F.to_date(start), F.to_date(stop)
-    picked = [*columns, *measures]
+    picked = [*columns, "_times", *measures]
     inside = intervals.join(
         per_day, (F.col(key) == F.col("_key")) & (F.col("_day") > first) & (F.col("_day") < last)
     ).select(*picked)
@@ -101,10 +103,12 @@ def count_in_intervals(
         & (F.col("_edge") == F.col("_day"))
         & F.col("_at").between(F.col(start), F.col(stop)),
     ).select(*picked)
-    rows = intervals.select(*columns, *[F.lit(0).cast("bigint").alias(m) for m in measures])
+    rows = intervals.select(*columns, "_times", *[F.lit(0).cast("bigint").alias(m) for m in measures])
     return (
         rows.unionByName(inside)
         .unionByName(at_edges)
-        .groupBy(*columns)
+        .groupBy(*columns, "_times")
         .agg(*[F.sum(m).alias(m) for m in measures])
+        .withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
+        .select(*columns, *measures)
     )

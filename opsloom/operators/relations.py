@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsloom.session import settle
 
 
 def zero_fill(columns: Sequence[str], source: str | None = None) -> list[Column]:
@@ -29,18 +28,15 @@ def same_key(left: str, right: str, columns: Sequence[str], *, never_null: Seque
 
 
 def with_group_values(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], *, few_groups: bool = False
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
     """Add per-group aggregates to every row, like a window without an order.
 
     Grouped with map-side combine and joined back null-safely instead of ``over(partitionBy)``: a
     group with a large share of the rows is never gathered and sorted in one task, and distinct
-    counts, which windows do not offer, work the same way. With ``few_groups`` the aggregates are
-    written first, so that Catalyst sees their size and need not shuffle ``df`` by such coarse keys.
+    counts, which windows do not offer, work the same way.
     """
     totals = df.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
-    if few_groups:
-        totals = settle(totals, "group-values")
     return df.alias("l").join(totals.alias("r"), same_key("l", "r", keys), "left").select(
         "l.*", *[F.col(f"r.{name}").alias(name) for name in values]
     )
@@ -72,6 +68,12 @@ def tagged(df: DataFrame, **tags: object) -> DataFrame:
     return df.select("*", *[F.lit(v).alias(k) for k, v in tags.items()])
 
 
-def keep_only(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Allow-list projection: columns not named never leave the source."""
+def keep_only(df: DataFrame, allowed: Sequence[str], *, may_lack: Sequence[str] = ()) -> DataFrame:
+    """Allow-list projection: columns not named never leave the source.
+
+    A name the source does not have is an error, unless it is listed in ``may_lack`` too.
+    """
+    unknown = [c for c in allowed if c not in df.columns and c not in may_lack]
+    if unknown:
+        raise ValueError(f"the source has no column {', '.join(unknown)}")
     return df.select(*[c for c in allowed if c in df.columns])

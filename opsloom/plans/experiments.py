@@ -317,16 +317,14 @@ def _request_arms(assignments: DataFrame, quotes: DataFrame, found: DataFrame) -
         spans, flagged, key="user_id", start="since", stop="until", at="created_time",
         measures={"n_rows": F.lit(1), "n_ids": F.when(counted_once, 1).otherwise(0)},
     )
-    any_repeated = not repeated_ids.isEmpty()
-    if any_repeated:
-        repeated = settle(found.join(repeated_ids, "case_id", "left_semi"), "repeated-cases")
-        reached = settle(_repeated_reached(spans, repeated), "repeated-reached")
-        more = reached.groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("n_more"))
-        per_span = (
-            per_span.alias("s").join(more.alias("r"), _same_member("s", "r"), "left")
-            .select("s.*", F.coalesce("r.n_more", F.lit(0)).alias("n_more"))
-            .withColumn("n_ids", F.col("n_ids") + F.col("n_more"))
-        )
+    repeated = settle(found.join(repeated_ids, "case_id", "left_semi"), "repeated-cases")
+    reached = settle(_repeated_reached(spans, repeated), "repeated-reached")
+    more = reached.groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("n_more"))
+    per_span = (
+        per_span.alias("s").join(more.alias("r"), _same_member("s", "r"), "left")
+        .select("s.*", F.coalesce("r.n_more", F.lit(0)).alias("n_more"))
+        .withColumn("n_ids", F.col("n_ids") + F.col("n_more"))
+    )
     request = [*ARM, "request_id"]
     rows = (
         members.alias("m")
@@ -337,10 +335,8 @@ def _request_arms(assignments: DataFrame, quotes: DataFrame, found: DataFrame) -
             F.col("s.n_ids").alias("n_ids"), F.col("s.n_requests").alias("n_requests"),
         )
     )
-    if any_repeated:
-        rows = rows.unionByName(_counted_again(members, reached))
     per_request = (
-        rows.groupBy(*request)
+        rows.unionByName(_counted_again(members, reached)).groupBy(*request)
         .agg(
             F.sum("users").alias("users"), F.sum("contacting").alias("contacting"),
             F.sum("n_ids").alias("ids"), F.max("n_requests").alias("weight"),

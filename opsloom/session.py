@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +21,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the run-time settings the results depend on (UTC day boundaries, ANSI casts, AQE)."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
-    if _is_local(spark):
-        # Small shuffles on few cores: do not merge partitions down to one task.
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master").startswith("local")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only a local master may go without: it gets a temporary folder of its own. On a cluster a folder of
-    one machine would lose data with that machine, so there the setting is required.
+    It has no default: a folder of one machine would lose data with that machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and _is_local(spark):
-        folder = os.environ.setdefault("OPSLOOM_TEST_SHARED_DIR", tempfile.mkdtemp(prefix="opsloom-"))
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")

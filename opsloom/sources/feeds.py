@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -39,6 +40,7 @@ last_name number_1 number_2 number_3 state street zip custom_caller_ani custom_c
 FEEDS = {"status": ("Stat", STATUS_COLUMNS), "call": ("Call", CALL_COLUMNS)}
 
 LINEAGE = "source_file"
+LOAD = "load_id"
 
 
 def feed_schema(feed: str) -> T.StructType:
@@ -80,11 +82,19 @@ def read_feed(spark: SparkSession, inbox: str, feed: str, *, quoted_newlines: bo
     return with_lineage(reader.csv(feed_glob(inbox, feed)))
 
 
+def save_load(rows: DataFrame, target: str, load_id: str) -> None:
+    """Write one load into its own partition of a dataset. A load that is tried again replaces itself.
+
+    Batch and stream both append through here, so one dataset may take both.
+    """
+    rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{LOAD}={load_id}")
+
+
 def load_feed(
     spark: SparkSession, inbox: str, feed: str, target: str, *, quoted_newlines: bool = True
 ) -> None:
     """Append a feed's files to a parquet dataset; made on first use. Loading a file twice doubles its rows."""
-    read_feed(spark, inbox, feed, quoted_newlines=quoted_newlines).write.mode("append").parquet(target)
+    save_load(read_feed(spark, inbox, feed, quoted_newlines=quoted_newlines), target, f"batch-{uuid.uuid4().hex}")
 
 
 def load_feeds(spark: SparkSession, inbox: str, targets: Mapping[str, str], *, quoted_newlines: bool = True) -> None:

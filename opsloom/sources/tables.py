@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,7 +49,3 @@ def present(df: DataFrame, *order: str | tuple[str, bool]) -> DataFrame:
     """Final sort for display: column names, or ``(name, ascending)``."""
     columns = [o if isinstance(o, tuple) else (o, True) for o in order]
     return df.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in columns])
-
-
-def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)

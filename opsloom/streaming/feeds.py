@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from threading import Event
 
-from opsloom.sources.feeds import csv_options, feed_glob, feed_schema, with_lineage
+from pyspark.sql import DataFrame, SparkSession
+
+from opsloom.sources.feeds import csv_options, feed_glob, feed_schema, save_load, with_lineage
 
 
 def load_arrived(
@@ -14,7 +16,9 @@ def load_arrived(
     """Append the files that arrived since the last call and return the number of batches run.
 
     The checkpoint remembers which files were loaded, so sources need not be deleted, a rerun loads
-    nothing twice, and a run cut short resumes. The parquet sink commits batch by batch.
+    nothing twice, and a run cut short resumes. Each batch is one load of the dataset, named by the
+    stream and the batch, so a batch that is tried again replaces its own rows; ``load_feed`` may append
+    to the same dataset.
     """
     arrived = (
         spark.readStream.schema(feed_schema(feed))
@@ -22,14 +26,21 @@ def load_arrived(
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(feed_glob(inbox, feed))
     )
+    started, stream, batches = Event(), [], []
+
+    def append(rows: DataFrame, batch: int) -> None:
+        started.wait()
+        save_load(rows, target, f"stream-{stream[0]}-{batch}")
+        batches.append(batch)
+
     query = (
         with_lineage(arrived)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", target)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    stream.append(query.id)
+    started.set()
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p["numInputRows"] > 0])
+    return len(batches)

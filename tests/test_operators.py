@@ -88,14 +88,11 @@ def test_spread_sums_equal_stints_together_and_overlaps_apart(make):
 
 def test_group_values_match_null_keys_and_count_distinct(make):
     df = make("g string, h int, v int", ("a", 1, 1), ("a", 1, 1), ("a", 1, 2), (None, 1, 5), (None, 1, None), ("a", None, 9))
-    for few in (False, True):
-        got = relations.with_group_values(
-            df, ["g", "h"], {"n": F.count_distinct("v"), "top": F.max("v")}, few_groups=few
-        )
-        assert rows(got) == sorted(
-            [("a", 1, 1, 2, 2), ("a", 1, 1, 2, 2), ("a", 1, 2, 2, 2), (None, 1, 5, 1, 5), (None, 1, None, 1, 5), ("a", None, 9, 1, 9)],
-            key=lambda r: tuple((v is not None, str(v)) for v in r),
-        )
+    got = relations.with_group_values(df, ["g", "h"], {"n": F.count_distinct("v"), "top": F.max("v")})
+    assert rows(got) == sorted(
+        [("a", 1, 1, 2, 2), ("a", 1, 1, 2, 2), ("a", 1, 2, 2, 2), (None, 1, 5, 1, 5), (None, 1, None, 1, 5), ("a", None, 9, 1, 9)],
+        key=lambda r: tuple((v is not None, str(v)) for v in r),
+    )
 
 
 def test_clone_adds_exactly_the_matched_rows(make):
@@ -112,7 +109,10 @@ def test_union_is_by_position_and_widens(make):
 
 def test_allow_list_leaves_other_columns_out(make):
     df = make("id int, secret string, name string", (1, "s", "n"))
-    assert relations.keep_only(df, ["id", "name", "absent"]).columns == ["id", "name"]
+    assert relations.keep_only(df, ["id", "name"]).columns == ["id", "name"]
+    assert relations.keep_only(df, ["id", "absent"], may_lack=["absent"]).columns == ["id"]
+    with pytest.raises(ValueError, match="absent"):
+        relations.keep_only(df, ["id", "absent"])
 
 
 def test_dense_months_fill_every_month_and_ignore_months_outside(make):
@@ -127,3 +127,10 @@ def test_dense_months_fill_every_month_and_ignore_months_outside(make):
         (2, months[0], None, date(2020, 5, 1)), (2, months[1], None, date(2020, 5, 1)), (2, months[2], None, date(2020, 5, 1)),
     ]
     assert one(got.agg(F.count(F.lit(1)).alias("n"))) == {"n": 6}
+
+
+def test_equal_intervals_keep_their_rows(make):
+    spans = make("k int, a timestamp_ntz, b timestamp_ntz", *[(1, datetime(2020, 1, 1), datetime(2020, 1, 3))] * 2)
+    points = make("k int, t timestamp_ntz", (1, datetime(2020, 1, 2)))
+    found = count_in_intervals(spans, points, key="k", start="a", stop="b", at="t", measures={"n": F.lit(1)})
+    assert [r["n"] for r in found.collect()] == [1, 1]
