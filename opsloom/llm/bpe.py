@@ -50,7 +50,7 @@ class Automaton:
         self.cut: dict[tuple[int, int], int] = {}  # (token a, token b) -> gadget that took arc b out of the state after a
         made = {a + b for a, b in merges}
         self.inner: dict[str, int] = {}
-        self.last: dict[str, int] = {}
+        self.last: dict[str, int] = {} if end else self.inner  # tokens at the end of a word
         for token, i in vocab.items():
             if token not in made:
                 self._arc(token, i)
