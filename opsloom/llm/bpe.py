@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from opsloom.llm.common import own_name, widened
 
 #: Words whose tokens a Python worker keeps at most; beyond it the memory starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 def _byte_symbols() -> list[str]:
@@ -90,7 +90,7 @@ class Automaton:
         """Transition table entry, filled when first asked for."""
         known = self.table.get((a, b))
         if known is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) > 1_000_000:
                 self.table.clear()
             known = self.table[a, b] = self._open(a, b, 1 << 60)
         return known

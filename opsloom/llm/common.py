@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 from opsloom.session import prepare
 
 #: Texts of a batch are worked on in slices of at most this many bytes (one longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Library settings, and batches to Python that stay small when texts are long."""
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
