@@ -11,6 +11,7 @@ from opsloom.functions import calendar as cal
 from opsloom.operators.generators import month_spine
 from opsloom.operators.relations import zero_fill
 from opsloom.plans import activity, agents, cases, chat, crm, experiments, phone, productivity, profitability, weekly
+from opsloom.session import settle
 from opsloom.sources.tables import present
 
 EVENTS = {"as_of": si.EVENTS_AS_OF}
@@ -192,8 +193,10 @@ def _(t: Standins) -> DataFrame:
 
 
 def team_days(t: Standins, surveys: bool = True) -> DataFrame:
+    """Roll-ups read stored scorecards, so each scorecard is computed once and branches share it."""
     return productivity.team_days(
-        phone_scorecard(t), demo_scorecard(t), excluded_emails=si.EXCLUDED_EMAILS, surveys=surveys
+        settle(phone_scorecard(t), "phone-card"), settle(demo_scorecard(t), "chat-card"),
+        excluded_emails=si.EXCLUDED_EMAILS, surveys=surveys,
     )
 
 

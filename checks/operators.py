@@ -236,7 +236,7 @@ def _first_weeks(t: Standins) -> DataFrame:
 
 
 def _events_in_weeks(t: Standins, how: str) -> DataFrame:
-    events = t.driver("events").filter(F.col("event_type") != "view").select(
+    events = t.driver("events").select(
         F.col("user_id").alias("actor"), "event_id", cal.utc_date(F.col("ts")).alias("day")
     )
     return join_in_interval(
@@ -247,7 +247,7 @@ def _events_in_weeks(t: Standins, how: str) -> DataFrame:
 
 def _interval_sql(kind: str) -> str:
     return f"""SELECT s.user_id, first_day, last_day, event_id FROM ({_STINT_DAYS}) s
-        {kind} JOIN (SELECT * FROM events WHERE event_type <> 'view') e
+        {kind} JOIN events e
         ON e.user_id = s.user_id AND e.ts::date BETWEEN first_day AND last_day"""
 
 
@@ -265,13 +265,11 @@ def _(t: Standins) -> DataFrame:
     "interval_join_cast_key",
     sql="""SELECT a.tt_admin_id, a.date_team_start, l.cre_credit_log_id FROM phone_stints a JOIN credit_log l
            ON try_cast(a.tt_admin_id AS bigint) = l.cre_performing_usr_user_id
-           AND make_timestamp(l.cre_timestamp * 1000)::date BETWEEN a.date_team_start AND a.date_team_end
-           AND l.cre_transaction_type = 3""",
+           AND make_timestamp(l.cre_timestamp * 1000)::date BETWEEN a.date_team_start AND a.date_team_end""",
 )
 def _(t: Standins) -> DataFrame:
-    ledger = t("credit_log").filter(F.col("cre_transaction_type") == 3)
     return join_in_interval(
-        phone_stints(t), ledger, key=casts.safe_long(F.col("tt_admin_id")) == F.col("cre_performing_usr_user_id"),
+        phone_stints(t), t("credit_log"), key=casts.safe_long(F.col("tt_admin_id")) == F.col("cre_performing_usr_user_id"),
         at=cal.utc_date(cal.from_millis(F.col("cre_timestamp"))), start=F.col("date_team_start"), end=F.col("date_team_end"),
     ).select("tt_admin_id", "date_team_start", "cre_credit_log_id")
 

@@ -128,7 +128,8 @@ def _(t: Standins) -> DataFrame:
     rows = t.driver("orders").select("o_orderkey", "o_custkey")
     for _ in range(2):
         tables.append_table(rows, name, path=path)
-    return t.spark.table(name)
+    t.spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder
+    return tables.read_dataset(t.spark, path)
 
 
 @query(

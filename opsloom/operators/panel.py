@@ -26,9 +26,14 @@ def dense_months(
     in_range = F.col(month).between(month_of(F.lit(start)), month_of(F.lit(as_of)))
     entry = F.when(in_range, F.struct(F.col(month).alias("k"), F.struct(*measures).alias("v")))
     entities = sparse.groupBy(*entity).agg(F.map_from_entries(F.collect_list(entry)).alias("_active"), *keep)
-    panel = entities.withColumn("index_month", F.explode(months_between(start, as_of)))
-    found = F.try_element_at(F.col("_active"), F.col("index_month"))
-    return panel.withColumns({m: found.getField(m) for m in measures}).drop("_active")
+    # looked up before the explode, so that the map itself never leaves the entity's row
+    months = F.transform(
+        months_between(start, as_of),
+        lambda m: F.struct(m.alias("index_month"), F.try_element_at(F.col("_active"), m).alias("v")),
+    )
+    others = [c for c in entities.columns if c != "_active"]
+    panel = entities.select(*others, F.explode(months).alias("_at"))
+    return panel.select(*others, "_at.index_month", *[F.col(f"_at.v.{m}").alias(m) for m in measures])
 
 
 def running(value: Column, window: WindowSpec) -> Column:

@@ -192,15 +192,22 @@ def unified_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def exposure_weights(exposure: DataFrame) -> DataFrame:
-    """Exposure rows with distinct buckets and requests of the user in the experiment and in the bucket."""
+    """Exposure rows with distinct buckets and requests of the user in the experiment and in the bucket.
+
+    ``exposure`` has one row per experiment, bucket, request and user, so within a bucket rows are requests
+    and per user grouped buckets are buckets; only a user's requests over all buckets need a distinct count.
+    """
     exposure = settle(exposure, "exposure")
     per_bucket = exposure.groupBy("experiment_id", "bucket_id", "user_id").agg(
-        F.count_distinct("request_id").alias("num_user_bucket_requests")
+        F.count("request_id").alias("num_user_bucket_requests")
     )
-    per_user = exposure.groupBy("experiment_id", "user_id").agg(
-        F.count_distinct("bucket_id").alias("num_user_buckets"),
-        F.count_distinct("request_id").alias("num_user_exp_requests"),
+    buckets = per_bucket.groupBy("experiment_id", "user_id").agg(F.count("bucket_id").alias("num_user_buckets"))
+    requests = exposure.groupBy("experiment_id", "user_id").agg(
+        F.count_distinct("request_id").alias("num_user_exp_requests")
     )
+    per_user = buckets.alias("b").join(
+        requests.alias("r"), same_key("b", "r", ["experiment_id", "user_id"], never_null=["user_id"])
+    ).select("b.*", "r.num_user_exp_requests")
     weights = per_bucket.alias("k").join(
         per_user.alias("u"), same_key("k", "u", ["experiment_id", "user_id"], never_null=["user_id"])
     ).select("k.*", "u.num_user_buckets", "u.num_user_exp_requests")

@@ -40,6 +40,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/opsloom/{spark.conf.get('spark.app.id')}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all that this application wrote to the shared folder; call it when the results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/opsloom/{spark.conf.get('spark.app.id')}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from checks.compare import difference, oracle_connection
+from checks.compare import difference, expected_rows, oracle_connection
 from checks.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def test_equals_oracle(spark, plain, name):
     plan = result._jdf.queryExecution().executedPlan().toString()
     for slow in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
         assert slow not in plan
-    assert difference(result, plain.execute(ORACLES[name]).df()) is None
+    assert difference(result, expected_rows(plain, ORACLES[name])) is None
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def skewed(tmp_path_factory):
 
 @pytest.mark.parametrize("name", DATASETS)
 def test_equals_oracle_on_skewed_tables(spark, skewed, name):
-    expected = oracle_connection(skewed).execute(ORACLES[name]).df()
+    expected = expected_rows(oracle_connection(skewed), ORACLES[name])
     assert difference(QUERIES[name](spark, skewed), expected) is None
 
 

@@ -1,6 +1,9 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from opsloom.session import SESSION_CONF, fresh_dir, settle, shared_dir
+from opsloom.session import SESSION_CONF, fresh_dir, release, settle, shared_dir
 from tests.conftest import rows
 
 
@@ -33,3 +36,22 @@ def test_small_settled_side_is_broadcast_by_its_size_and_large_one_is_not(spark,
 
 def test_settled_relation_without_rows(spark, make):
     assert settle(make("a int").filter("a > 1"), "none").isEmpty()
+
+
+def test_release_leaves_nothing_behind(spark, make):
+    kept = settle(make("a int", (1,)), "left")
+    files = [f.removeprefix("file://") for f in kept.inputFiles()]
+    assert kept.count() == 1 and all(map(os.path.exists, files))
+    release(spark)
+    assert not any(map(os.path.exists, files))
+
+
+def test_shared_folder_has_no_default(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+            with pytest.raises(ValueError):
+                shared_dir(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", folder)
