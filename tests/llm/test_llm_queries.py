@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from checks.compare import difference, oracle_connection
+from checks.compare import difference, expected_rows, oracle_connection
 from opsloom.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_equals_oracle(spark, name):
-    expected = oracle_connection(SMALL).execute(queries.ORACLES[name]).df()
+    expected = expected_rows(oracle_connection(SMALL), queries.ORACLES[name])
     assert difference(queries.QUERIES[name](spark, SMALL), expected) is None
 
 
