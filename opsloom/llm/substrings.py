@@ -32,6 +32,8 @@ from opsloom.session import settle
 LENGTH, GRAM = 200, 40
 GROUP = 2000
 SHALLOW = 12
+#: Groups of at most so many surroundings are answered for all their pairs at once, from the two orders.
+PAIRED = 200
 _STARTS = 1 << 19
 _RAW = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _INVERSE = pow(0x9DDFEA08EB382D69, -1, 1 << 64)
@@ -166,6 +168,27 @@ def deep_shallow(strings: list[bytes], begin: int = 0, shallow: int = SHALLOW) -
     return out
 
 
+def _shared(order: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """Common prefix of every two strings: the least among neighbours between them in the order."""
+    m = len(order)
+    out = np.zeros((m, m), np.int64)
+    for i in range(m - 1):
+        out[order[i], order[i + 1 :]] = out[order[i + 1 :], order[i]] = np.minimum.accumulate(neighbours[i:])
+    return out
+
+
+def _paired(left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    """Distances repeated by any two surroundings of a small group, from their common text on both sides."""
+    begin = np.maximum(LENGTH - right, np.maximum(low[:, None], low))
+    end = np.minimum(left, np.minimum(high[:, None], high))
+    a, b = np.nonzero((begin <= end) & ~np.eye(len(low), dtype=bool))
+    marks = np.zeros((len(low), LENGTH + 2), np.int64)
+    np.add.at(marks, (a, begin[a, b]), 1)
+    np.add.at(marks, (a, end[a, b] + 1), -1)
+    covered = np.cumsum(marks, axis=1)[:, : LENGTH + 1] > 0
+    return [np.flatnonzero(f | c) for f, c in zip(found, covered)]
+
+
 def repeated_starts(left: list[bytes], right: list[bytes], low: list[int], high: list[int], many: list[bool]) -> list[np.ndarray]:
     """For each surrounding of one anchor the distances (from string start to anchor) of its repeated strings.
 
@@ -184,6 +207,8 @@ def repeated_starts(left: list[bytes], right: list[bytes], low: list[int], high:
             shared = np.array([common(strings[a], strings[b]) for a, b in zip(order, order[1:])])
             classes.append((np.array(order), shared))
         (lo, ls), (ro, rs) = classes
+        if m <= PAIRED:
+            return _paired(_shared(lo, ls), _shared(ro, rs), np.array(low), np.array(high), found)
         low_, high_ = np.array(low), np.array(high)
         for d in range(int(low_.min()), int(high_.max()) + 1):
             owns = (low_ <= d) & (d <= high_)

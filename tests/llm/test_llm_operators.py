@@ -14,6 +14,7 @@ from opsloom.llm import bpe, exact, fingerprints, licences, mixing, ngrams, pers
 from opsloom.llm.archives import arc_records, read_arc, read_warc, write_arc, write_warc
 from opsloom.llm.common import ready
 from opsloom.llm.queries import VOCABULARIES
+from opsloom.llm.substrings import LENGTH
 
 PATH = f"{VOCABULARIES}/word_bpe_49k.json"
 SCHEMA = "doc_id long, text string, source string, size int, maybe_repeated string, draws int"
@@ -185,6 +186,19 @@ def removed(rows):
     return sorted(out)
 
 
+def test_small_and_large_groups_agree(monkeypatch):
+    rng = random.Random(6)
+    core = "".join(rng.choices("abcd", k=80)).encode()
+    left = ["".join(rng.choices("ab", k=160)).encode()[: 160 - i] for i in range(12)]
+    left = [left[i % 5][: 100 + i] for i in range(12)]
+    right = [core + bytes([65 + i % 3]) * (40 + i) + core + core for i in range(12)]
+    low, high = [max(0, LENGTH - len(r)) for r in right], [len(x) for x in left]
+    want = substrings.repeated_starts(left, right, low, high, [False] * 12)
+    monkeypatch.setattr(substrings, "PAIRED", 0)
+    got = substrings.repeated_starts(left, right, low, high, [False] * 12)
+    assert [w.tolist() for w in want] == [g.tolist() for g in got] and any(map(len, want))
+
+
 @pytest.mark.parametrize("group", [2000, 1])
 def test_repeated_bytes(docs, none, monkeypatch, group):
     monkeypatch.setattr(substrings, "GROUP", group)
