@@ -189,8 +189,8 @@ def removed(rows):
 def test_small_and_large_groups_agree(monkeypatch):
     rng = random.Random(6)
     core = "".join(rng.choices("abcd", k=80)).encode()
-    left = ["".join(rng.choices("ab", k=160)).encode()[: 160 - i] for i in range(12)]
-    left = [left[i % 5][: 100 + i] for i in range(12)]
+    before = "".join(rng.choices("ab", k=90)).encode()
+    left = [before + bytes([65 + i % 4]) * (20 + i) for i in range(12)]
     right = [core + bytes([65 + i % 3]) * (40 + i) + core + core for i in range(12)]
     low, high = [max(0, LENGTH - len(r)) for r in right], [len(x) for x in left]
     want = substrings.repeated_starts(left, right, low, high, [False] * 12)
