@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.common import own_name, text_of
+from opsloom.session import settle
 
 PROBES = 2
 BITS_PER_ROW = 16
@@ -69,8 +70,11 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                              F.lit(True).alias("kept"), "text_sha256")
     shared = flagged.where("maybe").select("doc_id", "text_sha256")
-    groups = shared.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = shared.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+    # written first, so that the join shuffles two plain relations, of which Spark splits a hot text's rows
+    groups = settle(shared.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    joined = shared.join(groups, "text_sha256", "left").withColumns({
+        "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    joined = joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)
 
 
