@@ -101,20 +101,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): root is the smallest vertex reachable.
 
     Alternates large-star and small-star steps until nothing changes; every step is a grouped minimum and a join on
-    vertices, written to the shared folder.
+    vertices, written to the shared folder. What does not change any more is a star per component. Steps are compared by
+    their number of edges and two 64-bit checksums.
     """
+
+    def state(step: DataFrame) -> tuple:
+        return tuple(step.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
+
     current = settle(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    while True:
+    before = state(current)
+    while before[0]:
         both = current.unionByName(current.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
         # small star: of the edges to smaller vertices, all hang on the smallest
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v != u").distinct()
-        following = settle(small, "edges")
-        if not following.exceptAll(current).limit(1).count() and following.count() == current.count():
-            return following.groupBy("v").agg(F.min("u").alias("root")).select("v", "root")
-        current = following
+        current = settle(small, "edges")
+        after = state(current)
+        if after == before:
+            break
+        before = after
+    return current.select("v", F.col("u").alias("root"))
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -169,8 +177,11 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     shared = entries.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
     held = settle(entries.join(shared, "token"), "held")  # one shuffle by token serves both sides
     ranges = reps.select("doc_id", "n", "ranges")
-    # equal doc_ids with different texts are one document
-    edges = settle(known.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links")
+    # equal doc_ids with different texts are one document: their classes are linked
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 != d1").select("doc_id")
+    named = reps.select("digest", F.col("doc_id").alias("rep"))
+    edges = settle(known.join(several, "doc_id").join(named, "digest")
+                   .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links")
     tried = None
     roots = components(edges)
 
@@ -196,6 +207,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = edges.unionByName(settle(verified(docs, pairs, ranges, size, percent), "links"))
-        roots = components(edges)
-    return made.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+        links = settle(verified(docs, pairs, ranges, size, percent), "links")
+        roots = components(links.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
+    found = named.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    found = settle(found, "found")
+    return made.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
