@@ -13,8 +13,8 @@ every pair that shares a prefix shingle is either in one component already or ve
 Candidates pass the length filter and the positional filter in the join, the suffix filter (counts of the rest of both
 sets by hash range bound their difference), and are verified once per pair.
 
-Null, empty and wordless texts have no shingles and link with nothing. Rows with the same doc_id count as one document
-for links and are all returned. Documents of fewer than five words are one shingle.
+Null, empty and wordless texts have no shingles and link with nothing. Rows with shingles and the same doc_id count as
+one document for links; all rows are returned. Documents of fewer than five words are one shingle.
 """
 
 from __future__ import annotations
