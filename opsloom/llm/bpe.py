@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from opsloom.llm.common import own_name, widened
 
-#: Words whose tokens a Python worker keeps at most; beyond it the memory starts anew.
+#: Words whose tokens a Python worker keeps: twice so many at most, those seen last stay.
 KEPT_WORDS = 150_000
+#: Separators that ``str.split`` takes for white space and the pattern does not.
+_NO_SPACE = regex.compile("[\x1c-\x1f]")
 
 
 def _byte_symbols() -> list[str]:
@@ -39,6 +41,10 @@ def _byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
+#: Symbols at the front of a token by which the lengths of its continuations are looked up.
+HEAD = 3
+
+
 class Automaton:
     """Compiled merges. ``vocab`` maps token strings to ids, ``merges`` are pairs of token strings in rank order."""
 
@@ -56,7 +62,13 @@ class Automaton:
                 self._arc(token, i)
         for number, (a, b) in enumerate(merges, 1):
             self._gadget(number, vocab[a], vocab[b], a + b, vocab[a + b])
-        self.longest = max(map(len, [*self.inner, *self.last]), default=1)
+        # lengths of the tokens that begin with these symbols, longest first: no other arcs leave from here
+        found: dict[str, set[int]] = {}
+        for token in [*self.inner, *self.last]:
+            if len(token) >= HEAD:
+                found.setdefault(token[:HEAD], set(range(1, HEAD))).add(len(token))
+        self.lengths = {head: sorted(of, reverse=True) for head, of in found.items()}
+        self.short = range(HEAD - 1, 0, -1)
 
     def _arc(self, token: str, i: int) -> None:
         self.born.setdefault(i, 0)
@@ -97,25 +109,35 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Tokens of one word of byte symbols: the only path of the automaton that spells it."""
-        n, inner, last, follows, longest = len(word), self.inner, self.last, self.follows, self.longest
+        n, inner, last, lengths, short = len(word), self.inner.get, self.last.get, self.lengths.get, self.short
+        known, follows = self.table.get, self.follows
         path: list[int] = []
-        ends: list[int] = []
-        at, stop, dead = 0, min(n, longest), set()
+        begins: list[int] = []
+        at, most, before, dead = 0, n, None, set()
         while at < n:
-            before = path[-1] if path else None
-            for end in range(stop, at, -1):
-                token = last.get(word[at:end]) if end == n else inner.get(word[at:end])
-                if token is not None and (end, token) not in dead and (before is None or follows(before, token)):
-                    path.append(token)
-                    ends.append(end)
-                    at, stop = end, min(n, end + longest)
-                    break
+            for k in lengths(word[at : at + HEAD], short):
+                if k > most:
+                    continue
+                end = at + k
+                token = last(word[at:]) if end == n else inner(word[at:end])
+                if token is None or dead and (end, token) in dead:
+                    continue
+                if before is not None:
+                    open_ = known((before, token))
+                    if open_ is None:
+                        open_ = follows(before, token)
+                    if not open_:
+                        continue
+                path.append(token)
+                begins.append(at)
+                at, most, before = end, n - end, token
+                break
             else:
                 if not path:
                     raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-                end = ends.pop()
-                dead.add((end, path.pop()))
-                at, stop = (ends[-1] if ends else 0), end - 1
+                dead.add((at, path.pop()))
+                begun = begins.pop()
+                at, most, before = begun, at - begun - 1, path[-1] if path else None
         return path
 
 
@@ -134,6 +156,7 @@ class Tokenizer:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = _byte_symbols()
         self.known: dict[str, tuple[int, str, str, list[int]]] = {}
+        self.older: dict[str, tuple[int, str, str, list[int]]] = {}
 
     def spelled(self, word: str) -> str:
         return "".join([self.symbols[b] for b in word.encode("utf-8")])
@@ -147,24 +170,32 @@ class Tokenizer:
 
     def entry(self, word: str) -> tuple[int, str, str, list[int]]:
         """(number of tokens, ids as text, labels as text, ids) of one pre-split word."""
-        found = self.known.get(word)
+        found = self.older.get(word)
         if found is None:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
             ids = self.automaton.encode(self.spelled(word))
-            found = self.known[word] = (len(ids), " ".join(map(str, ids)), self.decode(ids), ids)
+            found = (len(ids), " ".join(map(str, ids)), self.decode(ids), ids)
+        if len(self.known) >= KEPT_WORDS:
+            self.older = dict(self.known)
+            self.known.clear()
+        self.known[word] = found
         return found
 
     def entries(self, text: str) -> list[tuple[int, str, str, list[int]]]:
+        """Entries of all words. No word holds white space, and a chunk between spaces is mostly one word known by now."""
         pieces = self.split_added.split(text) if self.split_added and "<" in text else [text]
-        found = []
+        found, known, entry, words = [], self.known, self.entry, self.words.findall
         for piece in pieces:
             if piece in self.added:
                 i = self.added[piece]
                 found.append((1, str(i), self.labels[i], [i]))
-            else:
-                known, entry = self.known, self.entry
-                found += [known.get(w) or entry(w) for w in self.words.findall(self.normal(piece))]
+                continue
+            piece = self.normal(piece)
+            for chunk in piece.split(" ") if _NO_SPACE.search(piece) else piece.split():
+                whole = known.get(chunk)  # keys are words, and a word is split no further
+                if whole is not None:
+                    found.append(whole)
+                else:
+                    found += [known.get(w) or entry(w) for w in words(chunk)]
         return found
 
     def encode(self, text: str | None) -> list[int]:
