@@ -6,7 +6,8 @@ word, as a spot. Fingerprints are compared by Jaccard, pruned by set length: set
 wanted likeness are never laid side by side.
 
 Null texts count as empty; an empty text has the empty fingerprint, which is like another empty one (1) and nothing
-else (0). Rows that repeat a doc_id are all kept; the row after them is that of the next larger doc_id.
+else (0). Rows that repeat a doc_id are all kept; the row after them is that of the next larger doc_id. A null doc_id is
+one more id, smaller than all others: the smallest id follows it, and it follows the largest.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def near_pairs(sets: DataFrame, least: float = 0.8, key: str = "doc_id") -> Data
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
-    """(doc_id, next_id) for distinct ``doc_id``: the next larger one, and the smallest after the largest.
+    """(doc_id, next_id) for distinct ``doc_id`` without null: the next larger one, and the smallest after the largest.
 
     Keys are dealt into ranges; a key's successor is found within its range, and that of a range's last key is the
     first key of the next range. The only window over all is over one row per range.
@@ -87,7 +88,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    base = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
+    base = docs.select(F.struct(F.col(key).alias("id")).alias("doc_id"), text_of(text).alias("text"))  # a struct of null is a key like others
     spotted = with_spots(base, "text", "spots")
     keys = base.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
     links = settle(next_keys(keys.select("doc_id")).join(keys, "doc_id").select(F.col("doc_id").alias("of"), "next_id", "n"), "links")
@@ -98,5 +99,5 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.expr("substring(head, 1, cast(n_chars div 4 as int))"))
     out = with_spots(both.withColumn("edited", edited).drop("text", "head"), "edited", "b")
     named = lambda c: F.concat_ws(" ", F.transform(c, lambda h: F.hex(h.cast("long") + F.lit(2147483648))))
-    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), named("a").alias("fingerprint"), named("b").alias("edited_fingerprint"),
+    return out.select(F.col("doc_id.id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), named("a").alias("fingerprint"), named("b").alias("edited_fingerprint"),
                       likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_spots")).alias("near_next"))

@@ -257,6 +257,19 @@ def test_fingerprints(docs, spark, none):
     assert [(r["a"], r["b"]) for r in fingerprints.near_pairs(sets).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("ids", [[None, 3, None, 8, 5, None], [None], [None, None], [4]])
+def test_fingerprints_of_null_ids(spark, ids):
+    rows = [(k, words_of(30, 20 + (k or 0))[0]) for k in ids]
+    order = sorted(set(ids), key=lambda k: (k is not None, k or 0))
+    texts, want = dict(rows), []
+    for k, t in rows:
+        following, m = texts[order[(order.index(k) + 1) % len(order)]], len(t) // 4
+        want.append((k, len(t), hashlib.sha256((t[: len(t) - m] + following[:m]).encode()).hexdigest()))
+    got = fingerprints.edited_fingerprints(ready(spark).createDataFrame(rows, "doc_id long, text string"))
+    assert got.schema["doc_id"].dataType.simpleString() == "bigint"
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:3]) for r in got.collect())
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a/x y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "a\r\n\r\nWARC/1.1\n"), (6, "u", "<p>é</p>"), (6, "u", "<p>é</p>")]
     pages = ready(spark).createDataFrame(rows, "page_id long, url string, html string")
