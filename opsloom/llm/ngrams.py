@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles. All documents' shingles are counted in a sketch of ``CELLS`` cells, and
 each set is ordered by that count, rare first: any order that is the same for all sets keeps prefix filtering exact. Two
 sets of Jaccard 0.8 or more share a shingle of their prefixes (the first fifth). Documents with equal sets form one
-class, and only the class representative joins.
+class, and only the class joins, under a number of its own: a doc_id may name several classes.
 
 Links are wanted, not pairs. So a prefix shingle first links its holders to one of them (a star), verified on the whole
 sets; a shingle whose holders are then all in one component is done. After ``STARS`` such rounds, with another centre
@@ -41,6 +41,10 @@ def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int,
         yield first, last, shingle_hashes(*word_hashes(data, offsets), size)
 
 
+def _digest(found: np.ndarray) -> str:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest()
+
+
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - 18)).astype(np.int64)
 
@@ -87,7 +91,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     n = len(found)
                     keep = n - (percent * n + 99) // 100 + 1 if n else 0
                     rare = np.argsort(counts.value[_cell(found)], kind="stable")[:keep]  # ties by hash
-                    rows.append((n, hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), found[rare].view(np.int64), _ranges(found).tobytes()))
+                    rows.append((n, _digest(found), found[rare].view(np.int64), _ranges(found).tobytes()))
                 n, digests, prefix, ranges = zip(*rows)
                 lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefix)))
@@ -126,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, found) of the documents in ``ids``. A bitmap of the ids keeps other documents' texts from shuffling."""
+    """(digest, found) of the documents in ``ids``. A bitmap of the ids keeps other documents' texts from shuffling."""
     total = ids.count()
     blocks, bits = repeated_blocks(ids.select(F.col("doc_id").alias("key")).union(ids.select("doc_id")), total)
     likely = maybe_repeated(docs, "doc_id", blocks, bits, "_likely").where("_likely").select("doc_id", "text").join(ids, "doc_id", "left_semi")
@@ -134,13 +138,13 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, sets in _sets(batch, 1, size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "found"])
 
-    return likely.mapInArrow(run, "doc_id long, found binary")
+    return likely.mapInArrow(run, "digest string, found binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, ranges: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach ``percent`` per cent; suffix filter first, then the sets themselves."""
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach ``percent`` per cent; suffix filter first, then the sets themselves."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,11 +162,12 @@ def verified(docs: DataFrame, pairs: DataFrame, ranges: DataFrame, size: int, pe
                     kept.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], ["a", "b"])
 
-    x, y = ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("x"), F.col("n").alias("nx")), ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("y"), F.col("n").alias("ny"))
+    x, y = reps.select(F.col("class").alias("a"), F.col("ranges").alias("x"), F.col("n").alias("nx")), reps.select(F.col("class").alias("b"), F.col("ranges").alias("y"), F.col("n").alias("ny"))
     near_pairs = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(near, "a long, b long"), "near")
-    ids = settle(near_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    found = settle(_whole_sets(docs, ids, size).dropDuplicates(["doc_id"]), "sets")
-    s, t = found.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), found.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
+    ids = settle(near_pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps.select("class", "doc_id", "digest"), "class"), "ids")
+    sets = _whole_sets(docs, ids.select("doc_id").distinct(), size).dropDuplicates(["digest"])
+    found = settle(sets.join(ids.select("class", "digest"), "digest").select("class", "found"), "sets")
+    s, t = found.select(F.col("class").alias("a"), F.col("found").alias("x")), found.select(F.col("class").alias("b"), F.col("found").alias("y"))
     return near_pairs.join(s, "a").join(t, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
@@ -171,22 +176,21 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     made = settle(prefixes(docs, size, percent), "prefixes")
     known = made.where("doc_id is not null and n > 0")
-    # class representatives: one per distinct set, grouped with the sets' prefixes so that equal ones merge per task
-    reps = settle(known.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "prefix", "ranges"), "doc_id").alias("r")).select("digest", "r.*"), "classes")
-    entries = reps.select("doc_id", "n", F.posexplode("prefix").alias("place", "token")).repartition("token")
+    # classes: one per distinct set, grouped with the sets' prefixes so that equal ones merge per task, numbered as written
+    reps = known.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "prefix", "ranges"), "doc_id").alias("r")).select("digest", "r.*")
+    reps = settle(reps.withColumn("class", F.monotonically_increasing_id()), "classes")
+    entries = reps.select("class", "n", F.posexplode("prefix").alias("place", "token")).repartition("token")
     shared = entries.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
     held = settle(entries.join(shared, "token"), "held")  # one shuffle by token serves both sides
-    ranges = reps.select("doc_id", "n", "ranges")
     # equal doc_ids with different texts are one document: their classes are linked
     several = known.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 != d1").select("doc_id")
-    named = reps.select("digest", F.col("doc_id").alias("rep"))
-    edges = settle(known.join(several, "doc_id").join(named, "digest")
-                   .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links")
+    owned = settle(known.join(several, "doc_id").select("doc_id", "digest").distinct().join(reps.select("digest", "class"), "digest").select("doc_id", "class"), "owned")
+    edges = owned.join(owned.groupBy("doc_id").agg(F.min("class").alias("b")), "doc_id").select(F.col("class").alias("a"), "b")
     tried = None
     roots = components(edges)
 
     def labelled() -> DataFrame:
-        return held.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        return held.join(roots.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
     def fits(n: str, place: str, n2: str, place2: str) -> str:
         return (f"100 * least({n}, {n2}) >= {percent} * greatest({n}, {n2}) and"
@@ -194,21 +198,21 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     for turn in range(STARS + 1):
         rows = labelled()
-        open_ = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("doc_id", "n", "place", "root"), F.xxhash64("doc_id", F.lit(turn))).alias("centre")).where("r0 != r1")
+        open_ = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "n", "place", "root"), F.xxhash64("class", F.lit(turn))).alias("centre")).where("r0 != r1")
         if turn < STARS:
             pairs = (rows.join(open_.select("token", "centre"), "token").where("root != centre.root").where(fits("n", "place", "centre.n", "centre.place"))
-                     .select(F.least("doc_id", "centre.doc_id").alias("a"), F.greatest("doc_id", "centre.doc_id").alias("b")))
+                     .select(F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b")))
         else:
             live = rows.join(open_.select("token"), "token")
-            other = live.select("token", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("root").alias("r2"))
-            pairs = live.join(other, "token").where("root < r2").where(fits("n", "place", "n2", "p2")).select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b"))
+            other = live.select("token", F.col("class").alias("d2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("root").alias("r2"))
+            pairs = live.join(other, "token").where("root < r2").where(fits("n", "place", "n2", "p2")).select(F.least("class", "d2").alias("a"), F.greatest("class", "d2").alias("b"))
         pairs = pairs.distinct()
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = settle(verified(docs, pairs, ranges, size, percent), "links")
+        links = settle(verified(docs, pairs, reps, size, percent), "links")
         roots = components(links.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
-    found = named.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    found = settle(found, "found")
+    rooted = settle(reps.select("digest", "doc_id", "class").join(roots.withColumnRenamed("v", "class"), "class", "left").select("digest", "doc_id", F.coalesce("root", "class").alias("root")), "rooted")
+    found = settle(rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("digest", "component"), "found")
     return made.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -158,6 +158,14 @@ def test_ngram_links_of_a_large_near_group(spark):
     assert [got[i] for i in range(60)] == root
 
 
+def test_ngram_links_of_a_doc_id_with_several_texts(spark):
+    """Document 1 carries three texts that each name a class, and each has a near copy elsewhere."""
+    texts = [words_of(80, 30 + i)[0] for i in range(4)]
+    rows = [*[(1, t) for t in texts[:3]], *[(2 + i, t.rsplit(" ", 1)[0] + " changed") for i, t in enumerate(texts)], (9, texts[3])]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngrams.near_components(ready(spark).createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (9, 5)]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (100, 100)], "a long, b long")
     got = {r["v"]: r["root"] for r in ngrams.components(edges).collect()}
