@@ -7,16 +7,16 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from opsloom.llm import bpe, exact, fingerprints, licences, mixing, ngrams, personal, quality, substrings
 from opsloom.llm.archives import arc_records, read_arc, read_warc, write_arc, write_warc
 from opsloom.llm.common import ready
-from opsloom.llm.queries import VOCABULARIES
 from opsloom.llm.substrings import LENGTH
 
-PATH = f"{VOCABULARIES}/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, source string, size int, maybe_repeated string, draws int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
