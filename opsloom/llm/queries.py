@@ -107,14 +107,14 @@ ORACLES = {
             SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
             UNION ALL
             SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
-        places AS (SELECT kind, id, r, unnest(w) AS word, generate_subscripts(w, 1) AS at, len(w) AS n FROM words),
-        tens AS (SELECT kind, id, r, at, n, list(word) OVER (PARTITION BY kind, r ORDER BY at ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM places),
-        windows AS (SELECT DISTINCT id AS item_id, array_to_string(ten, ' ') AS win, len(ten) AS size FROM tens WHERE kind = 'b' AND (len(ten) = 10 OR at = 1)),
+        places AS (SELECT kind, id, r, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n FROM words),
+        tens AS (SELECT kind, id, r, pos, n, list(word) OVER (PARTITION BY kind, r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM places),
+        windows AS (SELECT DISTINCT id AS item_id, array_to_string(ten, ' ') AS win, len(ten) AS size FROM tens WHERE kind = 'b' AND (len(ten) = 10 OR pos = 1)),
         sizes AS (SELECT DISTINCT size FROM windows),
         found AS (
-            SELECT t.r, t.at, s.size, w.item_id FROM tens t JOIN sizes s ON len(t.ten) >= s.size
+            SELECT t.r, t.pos, s.size, w.item_id FROM tens t JOIN sizes s ON len(t.ten) >= s.size
             JOIN windows w ON w.size = s.size AND w.win = array_to_string(t.ten[1:s.size], ' ') WHERE t.kind = 'd'),
-        hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT r, unnest(range(at, at + size)) AS place FROM found) GROUP BY r),
+        hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT r, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY r),
         items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
         SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
