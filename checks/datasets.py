@@ -11,7 +11,8 @@ from opsloom.functions import calendar as cal
 from opsloom.operators.generators import month_spine
 from opsloom.operators.relations import zero_fill
 from opsloom.plans import activity, agents, cases, chat, crm, experiments, phone, productivity, profitability, weekly
-from opsloom.session import settle
+from opsloom.session import fresh_dir, settle
+from opsloom.sources.companions import save_companion, touched_on, touched_since
 from opsloom.sources.tables import present
 
 EVENTS = {"as_of": si.EVENTS_AS_OF}
@@ -189,6 +190,78 @@ def _(t: Standins) -> DataFrame:
     )
 
 
+# --- the same datasets over typed companions of the text-dated sources ----------------------------
+
+
+def case_companion(t: Standins) -> str:
+    """Written by a job of its own in use; one companion serves the look-backs of every zone."""
+    path = fresh_dir(t.spark, "cases-companion")
+    stamps = [f"{n}_time_{z}" for n in ("created", "closed") for z in ("mt", "pht")]
+    save_companion(
+        t("cases"), path, formats=dict.fromkeys(stamps, cal.ISO_STAMP), touched=["created_time", "closed_time", *stamps]
+    )
+    return path
+
+
+def companion_cases(t: Standins, look_back: int) -> DataFrame:
+    return touched_since(t.spark, case_companion(t), cal.days_before(si.EVENTS_AS_OF, look_back))
+
+
+def companion_presence(t: Standins) -> DataFrame:
+    path = fresh_dir(t.spark, "presence-companion")
+    save_companion(t("presence"), path, formats={"createddate": cal.US_STAMP}, touched=["createddate"])
+    return touched_since(t.spark, path, cal.days_before(si.EVENTS_AS_OF, si.SHORT_LOOK_BACK))
+
+
+@query("closed_cases_by_stint_pruned", relation="phone_closed")
+def _(t: Standins) -> DataFrame:
+    return phone.closed_cases(phone_stints(t), companion_cases(t, si.LONG_LOOK_BACK), **LONG)
+
+
+@query("bucket_pivot_prefix_pruned", relation="chat_time")
+def _(t: Standins) -> DataFrame:
+    return chat.presence_time(companion_presence(t), t("presence_status"), **SHORT)
+
+
+@query("phone_case_detail_pruned", relation="phone_case_detail")
+def _(t: Standins) -> DataFrame:
+    return cases.phone_case_detail(phone_stints(t), companion_cases(t, si.SHORT_LOOK_BACK), t("case_links"), **SHORT)
+
+
+@query("chat_case_detail_pruned", relation="chat_case_detail")
+def _(t: Standins) -> DataFrame:
+    return cases.chat_case_detail(chat_stints(t), companion_cases(t, si.SHORT_LOOK_BACK), t("case_links"), **SHORT)
+
+
+@query("agent_scorecard_pruned", relation="phone_scorecard")
+def _(t: Standins) -> DataFrame:
+    return phone.phone_scorecard(
+        phone_stints(t), companion_cases(t, si.LONG_LOOK_BACK), t("status_log"), t("csat"), t("credit_log"),
+        corrections=si.CORRECTIONS, long_look_back=si.LONG_LOOK_BACK, short_look_back=si.SHORT_LOOK_BACK, **EVENTS,
+    )
+
+
+@query("chat_scorecard_pruned", relation="chat_scorecard")
+def _(t: Standins) -> DataFrame:
+    return chat.chat_scorecard(
+        chat_stints(t), companion_cases(t, si.SHORT_LOOK_BACK), companion_presence(t), t("presence_status"), t("csat"),
+        t("credit_log"), t("contractor_log"), **SHORT,
+    )
+
+
+@query(
+    "cases_on_team_start_days",
+    sql="""SELECT c.case_id, c.case_number FROM cases c JOIN (SELECT DISTINCT date_team_start AS d FROM phone_stints WHERE emp_lvl = '1') s
+           ON s.d = cast(greatest(c.created_time, c.closed_time, strptime(c.created_time_mt, '%Y-%m-%d %H:%M:%S'),
+             strptime(c.closed_time_mt, '%Y-%m-%d %H:%M:%S'), strptime(c.created_time_pht, '%Y-%m-%d %H:%M:%S'),
+             strptime(c.closed_time_pht, '%Y-%m-%d %H:%M:%S')) AS date)""",
+)
+def _(t: Standins) -> DataFrame:
+    """Cases last touched on a day that a first-level agent joined a team; partitions are picked at run time."""
+    starts = phone_stints(t).filter(F.col("emp_lvl") == "1")
+    return touched_on(t.spark, case_companion(t), starts, "date_team_start").select("case_id", "case_number")
+
+
 # --- productivity and weekly board ----------------------------------------------------------------
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def join_in_interval(
@@ -62,6 +62,28 @@ def spread_over_stints(
     return covered.groupBy(*attributes, day).agg(*[F.sum(m).alias(m) for m in measures])
 
 
+def _leading(entries: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many leading entries of a sorted array hold, by binary search; 0 for a NULL array."""
+    size = F.coalesce(F.size(entries), F.lit(0))
+    steps = F.transform(
+        F.sequence(F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)),
+        lambda j: F.call_function("shiftleft", F.lit(1), j),
+    )
+    return F.aggregate(
+        steps, F.lit(0), lambda found, step: F.when((found + step <= size) & holds(F.get(entries, found + step - 1)), found + step).otherwise(found)
+    )
+
+
+def running_totals(sums: DataFrame, keys: Sequence[str], at: str, measures: Sequence[str]) -> DataFrame:
+    """One row per key with ``totals``: its moments in order, each with the sums up to and with it.
+
+    ``sums`` has one row per key and moment, so the arrays hold one entry per different moment of a key.
+    """
+    upto = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    running = sums.select(*keys, at, *[F.sum(m).over(upto).alias(m) for m in measures])
+    return running.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, *measures))).alias("totals"))
+
+
 def count_in_intervals(
     intervals: DataFrame,
     points: DataFrame,
@@ -74,41 +96,44 @@ def count_in_intervals(
 ) -> DataFrame:
     """For each interval row, sums of ``measures`` over the points of its key with ``start <= at <= stop``.
 
-    Days wholly inside an interval are answered from per-day totals (at most one row per key and day,
-    however many points a key holds); raw points are joined only on the interval's first and last day,
-    by key and day. So a key with a large share of the points never meets all of its intervals row by
-    row. Intervals without points keep their row with zeros. Both inputs are read more than once: pass
-    written relations when they are costly to compute.
+    Points become running totals on two levels: per key over its days, and per key and day over that
+    day's different moments. An interval looks up its key once and the days of its two ends, finds its
+    places by binary search, and takes the total up to its stop less the total before its start. So every
+    join has as many rows as there are intervals, however many points a key holds, and no array holds
+    more than the days of the history or the moments of a day. Measures are exact numbers (integers or
+    decimals), as totals are subtracted. Intervals without points, without a key or an end, or that stop
+    before they start, keep their row with zeros.
     """
-    columns = intervals.columns
-    # equal intervals are answered once and repeated at the end
-    intervals = intervals.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
-    pts = points.select(
-        F.col(key).alias("_key"),
-        F.col(at).alias("_at"),
-        F.to_date(at).alias("_day"),
-        *[m.alias(name) for name, m in measures.items()],
-    ).filter(F.col("_key").isNotNull() & F.col("_day").isNotNull())
-    per_day = pts.groupBy("_key", "_day").agg(*[F.sum(m).alias(m) for m in measures])
+    columns, names = intervals.columns, list(measures)
+    pts = (
+        points.select(F.col(key).alias("_key"), F.to_date(at).alias("_day"), F.col(at).alias("_at"), *[m.alias(n) for n, m in measures.items()])
+        .filter(F.col("_key").isNotNull() & F.col("_day").isNotNull())
+        .groupBy("_key", "_day", "_at").agg(*[F.sum(n).alias(n) for n in names])
+    )
+    moments = running_totals(pts, ["_key", "_day"], "_at", names)
+    per_day = moments.select("_key", "_day", *[F.element_at("totals", -1).getField(n).alias(n) for n in names])
+    days = running_totals(per_day, ["_key"], "_day", names).select("_key", F.col("totals").alias("_days"))
 
     first, last = F.to_date(start), F.to_date(stop)
-    picked = [*columns, "_times", *measures]
-    inside = intervals.join(
-        per_day, (F.col(key) == F.col("_key")) & (F.col("_day") > first) & (F.col("_day") < last)
-    ).select(*picked)
-    edges = intervals.withColumn("_edge", F.explode(F.array_distinct(F.array(first, last))))
-    at_edges = edges.join(
-        pts,
-        (F.col(key) == F.col("_key"))
-        & (F.col("_edge") == F.col("_day"))
-        & F.col("_at").between(F.col(start), F.col(stop)),
-    ).select(*picked)
-    rows = intervals.select(*columns, "_times", *[F.lit(0).cast("bigint").alias(m) for m in measures])
-    return (
-        rows.unionByName(inside)
-        .unionByName(at_edges)
-        .groupBy(*columns, "_times")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
-        .select(*columns, *measures)
+    looked_up = intervals.join(days, F.col(key) == F.col("_key"), "left").drop("_key")
+    for end, day in (("_first", first), ("_last", last)):
+        on_day = moments.select(F.col("_key").alias("_k"), F.col("_day").alias("_d"), F.col("totals").alias(end))
+        looked_up = looked_up.join(on_day, (F.col(key) == F.col("_k")) & (day == F.col("_d")), "left").drop("_k", "_d")
+
+    places = looked_up.select(
+        "*",
+        _leading(F.col("_days"), lambda e: e.getField("_day") < first).alias("_days_before"),
+        _leading(F.col("_days"), lambda e: e.getField("_day") < last).alias("_days_upto"),
+        _leading(F.col("_first"), lambda e: e.getField("_at") < F.col(start)).alias("_before"),
+        _leading(F.col("_last"), lambda e: e.getField("_at") <= F.col(stop)).alias("_upto"),
     )
+
+    def total(entries: str, place: str, name: str) -> Column:
+        return F.coalesce(F.get(entries, F.col(place) - 1).getField(name), F.lit(0))
+
+    def inside(name: str) -> Column:
+        upto = total("_days", "_days_upto", name) + total("_last", "_upto", name)
+        before = total("_days", "_days_before", name) + total("_first", "_before", name)
+        return F.when(F.col(start) <= F.col(stop), upto - before).otherwise(0).alias(name)
+
+    return places.select(*columns, *[inside(n) for n in names])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from opsloom.functions.calendar import midnight, month_of, utc_date
 from opsloom.operators import panel
+from opsloom.operators.generators import months_between
 
 ENTITY = ["pro_user_id", "im_enabled_market"]
 
@@ -68,10 +69,10 @@ def first_activity(contacts: DataFrame, markets: DataFrame) -> DataFrame:
 def activity_panel(contacts: DataFrame, markets: DataFrame, *, start: date, as_of: date) -> DataFrame:
     """Every pro and flag in every month, zero-filled, with running, total, previous and look-ahead counts.
 
-    The window measures are taken over the raw, NULL-holding counts and filled afterwards. Contacts are
-    shuffled once, already summed per month; the only other exchange moves one small row per pro and
-    active month, and windows and output keep that partitioning. Requests without a pro keep their
-    zero-filled rows and match no counts.
+    Contacts are shuffled once, already summed per month; the only other exchange brings a pro's active
+    months into one row. Measures are array scans in that row, taken before its months are exploded, so
+    the full panel is neither sorted nor windowed. Requests without a pro keep their zero-filled rows and
+    match no counts.
     """
     counted = F.col("in_scope") & F.col("pro_user_id").isNotNull()
     scoped = _by_month(contacts, markets, start).select(
@@ -82,7 +83,7 @@ def activity_panel(contacts: DataFrame, markets: DataFrame, *, start: date, as_o
         F.when(counted, F.col("revenue")).alias("amount"),
     )
     first_month = F.min(F.when(F.col("pro_user_id").isNotNull(), F.col("month")))
-    dense = panel.dense_months(
+    arrays = panel.month_arrays(
         scoped,
         ENTITY,
         "month",
@@ -91,18 +92,20 @@ def activity_panel(contacts: DataFrame, markets: DataFrame, *, start: date, as_o
         start,
         as_of,
     ).filter("listed")
-    ordered = Window.partitionBy(*ENTITY).orderBy("index_month")
-    n, month = F.col("n"), F.col("index_month")
-    return dense.select(
-        month.alias("month"),
+    scanned = arrays.select(
+        *ENTITY, "n", "amount", "first_contact_month", panel.running_totals(F.col("n")).alias("totals")
+    ).select("*", F.posexplode(months_between(start, as_of)).alias("pos", "month"))
+    n, totals, pos, month = (F.col(c) for c in ("n", "totals", "pos", "month"))
+    return scanned.select(
+        "month",
         *ENTITY,
-        F.coalesce(n, F.lit(0)).alias("contacts"),
-        F.coalesce("amount", F.lit(0)).alias("revenue"),
-        panel.running(n, ordered).alias("running_contacts"),
-        panel.total(n, ENTITY).alias("total_contacts"),
-        panel.previous(n, ordered).alias("contacts_prev_month"),
+        F.coalesce(F.get(n, pos), F.lit(0)).alias("contacts"),
+        F.coalesce(F.get(F.col("amount"), pos), F.lit(0)).alias("revenue"),
+        panel.through(totals, pos).alias("running_contacts"),
+        F.element_at(totals, -1).alias("total_contacts"),
+        panel.one_before(n, pos).alias("contacts_prev_month"),
         *[
-            panel.next_months(n, ordered, month, as_of, k).alias(f"contacts_next_{k}months")
+            F.when(panel.elapsed(month, as_of, k), panel.next_elements(totals, pos, k)).alias(f"contacts_next_{k}months")
             for k in (1, 2, 5)
         ],
         "first_contact_month",

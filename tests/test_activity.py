@@ -64,9 +64,9 @@ def test_panel_shuffles_contacts_only_after_summing_them(inputs):
     panel = activity.activity_panel(*inputs, start=START, as_of=AS_OF)
     plan = panel._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    # month-level sums, entity-level maps; the windows reuse the second partitioning
-    windows = plan.split("Generate")[0]
-    assert windows.count("Window [") == 2 and "Exchange" not in windows
+    # month-level sums, then one row per pro and flag: scans in its arrays, no window, no sort of the exploded months
+    assert "Window" not in plan and "Sort [pro_user_id" not in plan
+    assert "Exchange" not in plan.split("Generate")[0] and plan.count("Exchange hashpartitioning(pro_user_id") == 1
 
 
 def test_monthly_and_first(inputs):
