@@ -12,18 +12,21 @@ counts of zero and '' for the groups. Every row gives one row, repeated rows and
 How often two ids are linked is counted over all rows: rows are cut into chunks (one batch, some megabytes of text, or
 one longer text), each chunk gives every pair of ids once with a count, the counts are summed and the sums joined back
 to the chunks' pairs. So nothing the size of the vocabularies' product is sent around, and no row of the joins belongs
-to a single document or a single frequent pair. Ids are kept between the passes in two bytes each where they fit.
+to a single document or a single frequent pair. Between the passes a chunk keeps its links as compressed numbers of its
+pairs; texts are encoded and aligned once.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
+import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +34,16 @@ from pyspark.sql import functions as F
 from opsloom.llm.common import own_name, widened
 from opsloom.session import fresh_dir
 
-#: Words of more bytes go to the encoder whose time stays in proportion to them; both give the same ids.
+#: Words of more characters go to the encoder whose time stays in proportion to them; both give the same ids.
 LONG_WORD = 20_000
-#: UTF-8 of the sign that pieces have for a space.
+#: Words whose tokens a Python worker keeps, and new words that are encoded as one text.
+KEPT_WORDS, TOGETHER = 300_000, 500
+_TWO_SPACES = re.compile(r"\s\s")
+#: The sign that pieces have for a space.
 _MARK = "▁"
+_NONE = np.zeros(0, np.int64)
+#: What follows an id in the list of groups: another of its side, the other side, the next group, nothing.
+SIGNS = (",", "|", ";", "")
 
 
 class ByteLevel:
@@ -42,11 +51,9 @@ class ByteLevel:
 
     def __init__(self, source: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_str(source)
-        self.slow.encode_special_tokens = True
         told = json.loads(source)
+        self.source, self.exact = source, None
         self.bytes = byte_entries(told["model"]["vocab"])
         special = {t["id"] for t in told["added_tokens"]}
         # the pattern of byte-level pre-tokenization, a fixed value of the format
@@ -54,10 +61,19 @@ class ByteLevel:
         ranks = {b: i for i, b in enumerate(self.bytes) if b and i not in special}
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) > LONG_WORD and max(map(len, text.split()), default=0) > LONG_WORD or text.isspace():
-            return self.slow.encode(f" {text}", add_special_tokens=False).ids
-        return self.fast.encode_ordinary(f" {text}")
+    @property
+    def slow(self):
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_str(self.source)
+            self.exact.encode_special_tokens = True
+        return self.exact
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) > LONG_WORD and max(map(len, text.split()), default=LONG_WORD + 1) > LONG_WORD:
+            return np.array(self.slow.encode(f" {text}", add_special_tokens=False).ids, np.int64)
+        return self.fast.encode_to_numpy(f" {text}", disallowed_special=()).astype(np.int64)
 
 
 def byte_entries(vocab: dict[str, int]) -> list[bytes]:
@@ -86,28 +102,91 @@ class Pieces:
 
 
 class Aligner:
-    """Both tokenizers and what is looked up by id."""
+    """Both tokenizers, what is looked up by id, and the tokens of words seen before.
+
+    No token of either side reaches over a single space between two other characters: A splits before such a space, and
+    the pieces of B have the space's sign only in front. So texts whose spaces are all of that kind are put together
+    from the tokens of their words, each encoded once with the space before it; other texts are encoded whole.
+    """
 
     def __init__(self, source: str, model: bytes):
         self.a, self.b = ByteLevel(source), Pieces(model)
         self.lengths_a = np.array([len(x) for x in self.a.bytes], np.int64)
         self.lengths_b = np.array([len(x) for x in self.b.bytes], np.int64)
-        # strings of "id and what follows it" by 4 * entry + sign; entries of B come after those of A
-        self.strings = [f"{i}{sign}" for n in (len(self.a.bytes), len(self.b.bytes)) for i in range(n) for sign in (",", "|", ";", "")]
         self.first_b = len(self.a.bytes)
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+        # "id and what follows it" by 4 * entry + sign, entries of B after those of A: eight bytes, filled up with zeros
+        said = [f"{i}{sign}".encode() for n in (len(self.a.bytes), len(self.b.bytes)) for i in range(n) for sign in SIGNS]
+        self.said = np.array(said, "S8").view(np.uint64)
+        self.said_length = np.array([len(s) for s in said], np.int64)
+        self.by_words = all(b" " not in x.lstrip(b" ") for x in self.b.bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pools, self.sizes = [_NONE, _NONE], [_NONE, _NONE]  # tokens of all words, one behind the other; tokens per word
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and of B, none where either does not spell the text."""
-        if not text:
-            return [], []
-        whole = f" {text}".encode()
+        spelled = f" {text}".encode()
         a, b = self.a.encode(text), self.b.encode(text)
-        spelled = b"".join(map(self.a.bytes.__getitem__, a)) == whole and b"".join(map(self.b.bytes.__getitem__, b)) == whole
-        return (a, b) if spelled else ([], [])
-
-
-def coalesced(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of all tokens by start, A before B; their groups; begin of each group in that order).
+        # A is over bytes: its tokens spell what they were made from if they are as long
+        if self.lengths_a[a].sum() != len(spelled) or b"".join(map(self.b.bytes.__getitem__, b)) != spelled:
+            return _NONE, _NONE
+        return a, np.array(b, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, some in one text; where such a text is not spelled, one by one."""
+        found, sizes = ([self.pools[0]], [self.pools[1]]), ([self.sizes[0]], [self.sizes[1]])
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            ids = self.whole(" ".join(part))
+            if len(ids[0]):
+                ends = np.cumsum([1 + len(w.encode()) for w in part])
+                new = [np.diff(np.searchsorted(np.cumsum(n[i]), ends) + 1, prepend=0) for i, n in zip(ids, (self.lengths_a, self.lengths_b))]
+            else:
+                each = [self.whole(w) for w in part]
+                ids = [np.concatenate([x[side] for x in each]) for side in (0, 1)]
+                new = [np.array([len(x[side]) for x in each], np.int64) for side in (0, 1)]
+            for side in (0, 1):
+                found[side].append(ids[side])
+                sizes[side].append(new[side])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.pools, self.sizes = [np.concatenate(x) for x in found], [np.concatenate(x) for x in sizes]
+
+    def _separable(self, text: str) -> bool:
+        """Whether all its spaces stand between two other characters, of which none is white space or the sign of a space."""
+        if not self.by_words or _MARK in text or text[0].isspace() or text[-1].isspace() or _TWO_SPACES.search(text):
+            return False
+        return len(text) <= LONG_WORD or max(map(len, text.split(" "))) <= LONG_WORD
+
+    def tokens(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts one behind the other, and their numbers per text; of A and of B."""
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        by_words = [bool(t) and self._separable(t) for t in texts]
+        words = [t.split(" ") if by else [] for t, by in zip(texts, by_words)]
+        self._learn([w for w in set().union(*words) if w not in self.known])
+        others = [self.whole(t) if t and not by else (_NONE, _NONE) for t, by in zip(texts, by_words)]
+        begun = len(self.known)
+        numbers = np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, w) if by else (begun + i,) for i, (w, by) in enumerate(zip(words, by_words))), np.int64)
+        per_text = np.array([len(w) if by else 1 for w, by in zip(words, by_words)], np.int64)
+        owner = np.repeat(np.arange(len(texts)), per_text)
+        spelled = np.ones(len(texts), bool)
+        spelled[owner[np.concatenate([self.sizes[0], np.ones(len(texts), np.int64)])[numbers] == 0]] = False
+        numbers, owner = numbers[spelled[owner]], owner[spelled[owner]]
+        found, counts = [], []
+        for side in (0, 1):
+            pool = np.concatenate([self.pools[side], *[x[side] for x in others]])
+            sizes = np.concatenate([self.sizes[side], np.array([len(x[side]) for x in others], np.int64)])
+            begins = np.cumsum(sizes) - sizes
+            taken = sizes[numbers]
+            found.append(pool[np.arange(taken.sum()) + np.repeat(begins[numbers] - (np.cumsum(taken) - taken), taken)])
+            counts.append(np.bincount(owner, taken, len(texts)).astype(np.int64))
+        return tuple(found), tuple(counts)
+
+
+def coalesced(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(group of each A token, group of each B token, number of groups).
 
     Texts may stand one behind the other: where one ends, all tokens end, so groups do not cross."""
     ends = np.concatenate([np.cumsum(lengths_a), np.cumsum(lengths_b)])
@@ -117,25 +196,40 @@ def coalesced(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray,
     reach = np.maximum.accumulate(ends[order])
     breaks = np.ones(len(order), bool)
     breaks[1:] = starts[order][1:] >= reach[:-1]
-    return order, np.cumsum(breaks) - 1, np.flatnonzero(breaks)
+    group = np.cumsum(breaks) - 1
+    of_b = side[order] == 1
+    return group[~of_b], group[of_b], int(group[-1]) + 1 if len(group) else 0
 
 
-def linked(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked(lengths_a: np.ndarray, lengths_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Links as (A token, B token): inside its group, each A token is expanded to the B tokens it overlaps."""
-    order, group, begins = coalesced(lengths_a, lengths_b)
-    n_a = len(lengths_a)
-    of_a, of_b = group[order < n_a], group[order >= n_a]  # groups of the tokens of each side, in their order
-    first = np.searchsorted(of_b, np.arange(len(begins)))
-    last = np.searchsorted(of_b, np.arange(len(begins)), side="right") - 1
+    in_group = np.bincount(of_b, minlength=groups)
+    last = np.cumsum(in_group) - 1
+    low, high = (last - in_group + 1)[of_a], last[of_a]
+    # one A token overlaps all of its group; several share its B tokens by their ranges
+    several = np.flatnonzero((np.bincount(of_a, minlength=groups) > 1)[of_a])
     end_a, end_b = np.cumsum(lengths_a), np.cumsum(lengths_b)
-    # only groups of several A tokens need the ranges; with one A token it overlaps the whole group
-    low, high = first[of_a], last[of_a]
-    several = np.flatnonzero(np.bincount(of_a, minlength=len(begins))[of_a] > 1)
     low[several] = np.searchsorted(end_b, end_a[several] - lengths_a[several], side="right")
     high[several] = np.searchsorted(end_b, end_a[several], side="left")
     count = high - low + 1
-    at = np.repeat(np.arange(n_a), count)
-    return at, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    return np.repeat(np.arange(len(of_a)), count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - low, count)
+
+
+def listed_groups(aligner: Aligner, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, groups: int, sizes: np.ndarray) -> list[bytes]:
+    """The groups of each text, ``a1,a2|b1;a3|b2``; ``sizes`` are the numbers of tokens of both sides per text."""
+    in_a, in_b = np.cumsum(np.bincount(of_a, minlength=groups)), np.cumsum(np.bincount(of_b, minlength=groups))
+    at_a = np.arange(len(a)) + np.concatenate([[0], in_b])[of_a]
+    at_b = np.arange(len(b)) + in_a[of_b]
+    entry = np.empty(len(a) + len(b), np.int64)
+    entry[at_a], entry[at_b] = 4 * a, 4 * (b + aligner.first_b)
+    entry[at_a[in_a - 1]] += 1
+    entry[at_b[in_b - 1]] += 2
+    ends = np.cumsum(sizes)
+    entry[ends[sizes > 0] - 1] += 1
+    said = aligner.said[entry].view(np.uint8)
+    flat = said[said != 0].tobytes()
+    cuts = np.concatenate([[0], np.cumsum(aligner.said_length[entry])])[np.concatenate([[0], ends])].tolist()
+    return [flat[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 _built: dict[str, Aligner] = {}
@@ -144,113 +238,87 @@ _built: dict[str, Aligner] = {}
 def _aligner(key: str, source: str, model: bytes) -> Aligner:
     """One pair of tokenizers per Python worker."""
     if key not in _built:
-        _built[key] = Aligner(source, base64.b64decode(model))
+        _built[key] = Aligner(source, model)
     return _built[key]
 
 
-def _read(spark, path: str) -> bytes:
-    with open(path, "rb") as file:
-        return file.read()
-
-
-def _ids(blobs: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows one behind the other, and the number of ids of each row."""
-    values = blobs.to_pylist()
-    return np.frombuffer(b"".join(values), f"<u{width}").astype(np.int64), np.array([len(v) // width for v in values], np.int64)
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte (all lowest bytes, then the next ones), compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(A token of each link, pair of ids of each link)."""
-    at, to = linked(lengths[0][a], lengths[1][b])
-    return at, (b[to] << 32) | a[at]
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64)
 
 
 def aligned_tokens(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", with_groups: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, and: n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and
     with ``with_groups`` the groups themselves, as ``a1,a2|b1;a3|b2``."""
     spark = docs.sparkSession
-    source, model = _read(spark, byte_level).decode(), base64.b64encode(_read(spark, pieces))
-    key = hashlib.sha256(source.encode() + model).hexdigest()
+    with open(byte_level, encoding="utf-8") as a_file, open(pieces, "rb") as b_file:
+        source, model = a_file.read(), b_file.read()
     shared = spark.sparkContext.broadcast((source, model))  # the vocabulary files, some megabytes
-    local = Aligner(source, base64.b64decode(model))
-    width = 2 if max(len(local.a.bytes), len(local.b.bytes)) <= 1 << 16 else 4
-    lengths = spark.sparkContext.broadcast((local.lengths_a, local.lengths_b))
     kept = docs.drop(text)
-    names = {n: own_name(kept, n) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups", "chunk", "ids_a", "ids_b")}
+    told = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    names = {n: own_name(kept, n) for n in (*told, "groups", "chunk", "place", "links", "pairs", "counts")}
     path = fresh_dir(spark, "aligned")
-    _encoded(docs, kept, shared, key, width, names, text, with_groups).write.option("compression", "zstd").parquet(path)
-    encoded = spark.read.parquet(path)
-    pair_path = fresh_dir(spark, "pairs")
-    _chunk_pairs(encoded, lengths, width, names).write.parquet(pair_path)
-    pairs = spark.read.schema("chunk long, pair long, n long").parquet(pair_path)
-    looked_up = pairs.select("chunk", "pair").join(pair_counts(pairs), "pair")
-    done = _counted(encoded, looked_up, lengths, width, names)
-    out = [*kept.columns, *[names[n] for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")], *([names["groups"]] if with_groups else [])]
+    encoded = _encoded(docs, kept, shared, hashlib.sha256(source.encode() + model).hexdigest(), names, text, with_groups)
+    encoded.write.parquet(path)
+    encoded = spark.read.schema(encoded.schema).parquet(path)
+    chunk = encoded.where(F.col(names["pairs"]).isNotNull()).select(F.col(names["chunk"]).alias("chunk"), F.col(names["pairs"]).alias("pairs"), F.col(names["counts"]).alias("counts"))
+    counts = pair_counts(chunk.mapInArrow(_chunk_pairs, "chunk long, pair long, n long"))
+    looked_up = chunk.mapInArrow(_chunk_pairs, "chunk long, pair long, n long").select("chunk", "pair").join(counts, "pair")
+    done = _counted(encoded.drop(names["pairs"], names["counts"]), looked_up, names)
+    out = [*kept.columns, *[names[n] for n in told], *([names["groups"]] if with_groups else [])]
     return done.select(*[F.col(f"`{c}`") for c in out])
 
 
-def _encoded(docs, kept, shared, key: str, width: int, names: dict[str, str], text: str, with_groups: bool) -> DataFrame:
-    made = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "chunk", "ids_a", "ids_b", *(["groups"] if with_groups else [])]
-    types = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "chunk": "long", "ids_a": "binary", "ids_b": "binary", "groups": "string"}
-    schema = widened(kept, **{names[n]: types[n] for n in made})
+def _encoded(docs, kept, shared, key: str, names: dict[str, str], text: str, with_groups: bool) -> DataFrame:
+    """The rows with all that does not depend on other rows; the first of a chunk has the chunk's links and pairs."""
+    types = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", **({"groups": "string"} if with_groups else {}),
+             "chunk": "long", "place": "long", "links": "binary", "pairs": "binary", "counts": "binary"}
+    schema = widened(kept, **{names[n]: t for n, t in types.items()})
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     carried = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, task = _aligner(key, *shared.value), TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
-            # two bytes an id only where they fit, as a number of the chunk: partition and batch
-            ids = [aligner.tokens(v.as_py()) for v in batch.column(text)]
-            columns = {"chunk": [(task << 32) | number] * len(ids), "groups_sha256": [], "groups": [], "n_groups": [], "n_links": []}
-            for a, b in ids:
-                columns["n_groups"].append(0)
-                columns["n_links"].append(0)
-                groups = ""
-                if a:
-                    a, b = np.array(a), np.array(b)
-                    la, lb = aligner.lengths_a[a], aligner.lengths_b[b]
-                    order, group, begins = coalesced(la, lb)
-                    side = order >= len(a)
-                    entry = np.concatenate([a, b + aligner.first_b])[order]
-                    resorted = np.argsort(group * 2 + side, kind="stable")
-                    group, side, entry = group[resorted], side[resorted], entry[resorted]
-                    sign = np.full(len(entry), 3)
-                    sign[:-1] = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
-                    groups = "".join(map(aligner.strings.__getitem__, (entry * 4 + sign).tolist()))
-                    columns["n_groups"][-1] = len(begins)
-                    # tokens of both sides that meet in a group form a path, one link shorter than their number
-                    columns["n_links"][-1] = len(a) + len(b) - len(begins)
-                columns["groups"].append(groups)
-                columns["groups_sha256"].append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
-            columns["n_a"], columns["n_b"] = [len(a) for a, _ in ids], [len(b) for _, b in ids]
-            columns["ids_a"] = [np.array(a, f"<u{width}").tobytes() for a, _ in ids]
-            columns["ids_b"] = [np.array(b, f"<u{width}").tobytes() for _, b in ids]
-            arrays = [pa.array(columns[n], arrow[types[n]]) for n in made]
+            rows = batch.num_rows
+            if not rows:
+                continue
+            (a, b), (n_a, n_b) = aligner.tokens(batch.column(text).to_pylist())
+            lengths_a, lengths_b = aligner.lengths_a[a], aligner.lengths_b[b]
+            of_a, of_b, groups = coalesced(lengths_a, lengths_b)
+            texts = listed_groups(aligner, a, b, of_a, of_b, groups, n_a + n_b) if groups else [b""] * rows
+            ends = np.concatenate([[-1], of_b])[np.cumsum(n_b)] + 1  # groups up to the end of each text
+            n_groups = np.diff(ends, prepend=0)
+            at, to = linked(lengths_a, lengths_b, of_a, of_b, groups)
+            pair = (b[to] << 32) | a[at]
+            pairs, counts = np.unique(pair, return_counts=True)
+            first = [None] * (rows - 1)
+            columns = {
+                "n_a": n_a, "n_b": n_b, "n_groups": n_groups,
+                "n_links": n_a + n_b - n_groups,  # the tokens of a group overlap as a path, one link shorter than their number
+                "groups_sha256": [hashlib.sha256(t).hexdigest() if t else "" for t in texts], "groups": [t.decode() for t in texts] if with_groups else None,
+                "chunk": np.full(rows, (task << 32) | number), "place": np.arange(rows), "links": [_packed(np.searchsorted(pairs, pair)), *first],
+                "pairs": [_packed(np.diff(pairs, prepend=0)), *first], "counts": [_packed(counts), *first],
+            }
+            arrays = [pa.array(columns[n], arrow[t]) for n, t in types.items()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *arrays], [f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 
 
-def _chunk_pairs(encoded: DataFrame, lengths, width: int, names: dict[str, str]) -> DataFrame:
-    """(chunk, pair, n): each pair of ids that a chunk links, once for each batch that holds rows of the chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            (a, n_a), (b, n_b) = _ids(batch.column(1), width), _ids(batch.column(2), width)
-            ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
-            cuts = np.flatnonzero(np.diff(chunks)) + 1
-            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunks)]):
-                if first == last:
-                    continue
-                from_a, from_b = ends_a[first] - n_a[first], ends_b[first] - n_b[first]
-                _, pair = _pairs(a[from_a : ends_a[last - 1]], b[from_b : ends_b[last - 1]], lengths.value)
-                pair, n = np.unique(pair, return_counts=True)
-                for k in range(0, len(pair), 1 << 16):
-                    part = pair[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunks[first])), pa.array(part), pa.array(n[k : k + (1 << 16)])], ["chunk", "pair", "n"])
-
-    return encoded.select(names["chunk"], names["ids_a"], names["ids_b"]).mapInArrow(run, "chunk long, pair long, n long")
+def _chunk_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, pair, n): each pair of ids that a chunk links."""
+    for batch in batches:
+        for chunk, pairs, counts in zip(*[c.to_pylist() for c in batch.columns]):
+            pair, n = np.cumsum(_unpacked(pairs)), _unpacked(counts)
+            for k in range(0, len(pair), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair[part]), chunk)), pa.array(pair[part]), pa.array(n[part])], ["chunk", "pair", "n"])
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -260,24 +328,21 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return counts.join(most, F.shiftright("pair", 32) == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def _counted(encoded: DataFrame, looked_up: DataFrame, lengths, width: int, names: dict[str, str]) -> DataFrame:
+def _counted(encoded: DataFrame, looked_up: DataFrame, names: dict[str, str]) -> DataFrame:
     """The rows of each chunk with n_best and count_sum, from the counts of the chunk's pairs."""
-    schema = widened(encoded.drop(names["ids_a"], names["ids_b"]), **{names["n_best"]: "long", names["count_sum"]: "long"})
+    schema = widened(encoded.drop(names["links"], names["place"]), **{names["n_best"]: "long", names["count_sum"]: "long"})
+    place, links, n_links = names["place"], names["links"], names["n_links"]
+    added = names["n_best"], names["count_sum"]
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        pair, count, best = (found.column(c).to_numpy() for c in ("pair", "count", "best"))
-        order = np.argsort(pair)
-        order = order[np.append(True, np.diff(pair[order]) != 0)] if len(order) else order  # a chunk read in two parts has pairs twice
-        pair, count, best = pair[order], count[order], best[order]
-        rows = rows.combine_chunks()
-        (a, n_a), (b, _) = _ids(rows.column(names["ids_a"]), width), _ids(rows.column(names["ids_b"]), width)
-        at, linked_pair = _pairs(a, b, lengths.value)
-        where = np.searchsorted(pair, linked_pair)
-        row = np.repeat(np.arange(len(n_a)), n_a)[at]
-        sums, bests = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
-        np.add.at(sums, row, count[where])
-        np.add.at(bests, row, best[where].astype(np.int64))
-        rows = rows.drop_columns([names["ids_a"], names["ids_b"]])
-        return rows.append_column(names["n_best"], pa.array(bests)).append_column(names["count_sum"], pa.array(sums))
+        rows = rows.sort_by(place)
+        order = np.argsort(found.column("pair").to_numpy())
+        number = _unpacked(rows.column(links)[0].as_py())
+        ends = np.concatenate([[0], np.cumsum(rows.column(n_links).to_numpy())])
+        rows = rows.drop_columns([place, links])
+        for name, column in zip(added, ("best", "count")):
+            value = found.column(column).to_numpy()[order].astype(np.int64)[number]
+            rows = rows.append_column(name, pa.array(np.diff(np.concatenate([[0], np.cumsum(value)])[ends])))
+        return rows
 
     return encoded.groupBy(names["chunk"]).cogroup(looked_up.groupBy("chunk")).applyInArrow(run, schema)

@@ -105,7 +105,7 @@ def test_registered_alignment(spark):
     local = alignment.Aligner(open(A_FILE, encoding="utf-8").read(), open(B_FILE, "rb").read())
     counts, links = Counter(), {}
     for i, text in short:  # merge walk over both tilings
-        a, b = local.tokens(text)
+        a, b = (x.tolist() for x in local.whole(text))
         at_a = at_b = x = y = 0
         links[i] = []
         while x < len(a) and y < len(b):
@@ -336,3 +336,19 @@ def test_registered_decontamination(spark):
     want = brute_decontamination([r["text"] for r in keep], items)
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op12_decontamination(spark, SMALL).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
     assert [got[r["doc_id"]] for r in keep] == want and F is not None
+
+
+def test_texts_put_together_from_words_equal_texts_encoded_whole():
+    local = alignment.Aligner(open(A_FILE, encoding="utf-8").read(), open(B_FILE, "rb").read())
+    assert local.by_words
+    rng = random.Random(12)
+    parts = ["a", "the", "don't", "I'll", " ", " ", " ", "\n", "\t", " ", "　", "\x1c", "é", "日本", "1", "23", ".", "...", "▁", "<s>", "ing", "\x85", "s", "'", "😀", "A", "​", "ﬁ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(6000)] + ["w" * 30000 + " a b", " ".join(["x"] * 30000)]
+    for k in range(0, len(texts), 500):
+        (a, b), (n_a, n_b) = local.tokens([None, "", *texts[k : k + 500]])
+        assert n_a[:2].tolist() == n_b[:2].tolist() == [0, 0]
+        at_a = at_b = 0
+        for text, x, y in zip(texts[k : k + 500], n_a[2:], n_b[2:]):
+            want = local.whole(text)
+            assert (a[at_a : at_a + x].tolist(), b[at_b : at_b + y].tolist()) == (want[0].tolist(), want[1].tolist()), text
+            at_a, at_b = at_a + x, at_b + y
