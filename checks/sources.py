@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +15,7 @@ from opsloom.plans import productivity
 from opsloom.session import fresh_dir
 from opsloom.sources import feeds, tables
 from opsloom.streaming.feeds import load_arrived
+from opsloom.streaming.inbox import load_files, load_inbox, make_feed_tables, read_published
 
 STATUS_SQL = """SELECT 'agent' || user_id AS agent, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS timestamp,
     CASE WHEN event_type <> 'error' THEN event_type END AS state, CASE WHEN value > 20 THEN 'said "yes", then' || chr(10) || 'left' END
@@ -106,6 +108,41 @@ def _(t: Standins) -> DataFrame:
     )
 
 
+def _loaded_inbox(t: Standins) -> tuple[dict[str, str], str]:
+    """Two deliveries of both feeds, offered in three stream runs; the first once more as a batch load that was made before."""
+    root, label = fresh_dir(t.spark, "loads"), uuid.uuid4().hex[:8]
+    inbox, state, log = f"{root}/inbox", f"{root}/state", f"loads_{label}"
+    named = {"status": f"status_{label}", "call": f"calls_{label}"}
+    make_feed_tables(t.spark, named, log, folder=root)
+    for delivery in (1, 2):
+        for feed in named:
+            _deliver(t, inbox, feed, f"log - {delivery}")
+        load_inbox(t.spark, inbox, named, log, state)
+    load_inbox(t.spark, inbox, named, log, state)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{inbox}/Call log - 1.csv")
+    for _ in range(2):
+        load_files(t.spark, inbox, [r["path"] for r in files.select("path").collect()], named, log, "first-delivery-again")
+    return named, log
+
+
+@query("feed_inbox_status", sql=STATUS_SQL + " UNION ALL " + STATUS_SQL)
+def _(t: Standins) -> DataFrame:
+    """Named tables filled by one stream for all feeds, each file once."""
+    named, log = _loaded_inbox(t)
+    return read_published(t.spark, named["status"], log).select(
+        "agent", "date", "timestamp", "state", "reason_code", "agent_id", "skill_availability"
+    )
+
+
+@query("feed_inbox_calls", sql=CALL_SQL + " UNION ALL " + CALL_SQL + " UNION ALL " + CALL_SQL)
+def _(t: Standins) -> DataFrame:
+    """The other feed of the same loads, which also takes a batch load, once however often it is tried."""
+    named, log = _loaded_inbox(t)
+    return read_published(t.spark, named["call"], log).select(
+        "call_id", "date", "skill", "disposition", "contact_id", "custom_queue"
+    )
+
+
 @query(
     "feed_lineage",
     sql="""SELECT delivery, count(*) AS n FROM (SELECT unnest(['log - 1', 'log - 2']) AS delivery) d, orders GROUP BY 1""",

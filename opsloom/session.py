@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +38,42 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder, grouped by application so that old runs can be expired."""
-    return f"{shared_dir(spark)}/opsloom/{spark.conf.get('spark.app.id')}/{label}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder, grouped by application so that old runs can be expired.
+
+    Inside ``scratch`` the path lies in the scope's folder and goes with it.
+    """
+    folder = _scope.get() or f"{shared_dir(spark)}/opsloom/{spark.conf.get('spark.app.id')}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Own what is written to the shared folder inside the block, and remove it at the end.
+
+    Save or collect results inside: a relation that reads an intermediate cannot be read afterwards.
+    Scopes nest; what an outer one holds stays until it ends, also when the block fails.
+    """
+    folder = fresh_dir(spark, "scratch")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        _remove(spark, folder)
 
 
 def release(spark: SparkSession) -> None:
     """Remove all that this application wrote to the shared folder; call it when the results have been read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/opsloom/{spark.conf.get('spark.app.id')}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/opsloom/{spark.conf.get('spark.app.id')}")
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.session import SESSION_CONF, fresh_dir, release, settle, shared_dir
+from opsloom.session import SESSION_CONF, fresh_dir, release, scratch, settle, shared_dir
 from tests.conftest import rows
 
 
@@ -46,12 +47,30 @@ def test_release_leaves_nothing_behind(spark, make):
     assert not any(map(os.path.exists, files))
 
 
-def test_shared_folder_has_no_default(spark):
-    folder = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-            with pytest.raises(ValueError):
-                shared_dir(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", folder)
+class _Session:
+    """What ``shared_dir`` asks a session for."""
+
+    def __init__(self, setting=None, checkpoint=None):
+        self.conf = SimpleNamespace(get=lambda key, default=None: setting if key == "spark.checkpoint.dir" else default)
+        self.sparkContext = SimpleNamespace(getCheckpointDir=lambda: checkpoint)
+
+
+def test_shared_folder_has_no_default():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session())
+    assert shared_dir(_Session("hdfs://x/y/")) == "hdfs://x/y" and shared_dir(_Session(None, "s3a://b/c")) == "s3a://b/c"
+
+
+def test_scratch_owns_what_is_written_inside(spark, make):
+    outside = settle(make("a int", (1,)), "outside")
+    with scratch(spark) as outer:
+        kept = settle(make("a int", (2,)), "x")
+        with scratch(spark) as inner:
+            assert inner.startswith(outer) and rows(settle(kept, "y")) == [(2,)]
+            assert os.listdir(inner.removeprefix("file:"))
+        assert not os.path.exists(inner.removeprefix("file:")) and rows(kept) == [(2,)]
+    assert not os.path.exists(outer.removeprefix("file:")) and rows(outside) == [(1,)]
+    with pytest.raises(ZeroDivisionError), scratch(spark) as failed:
+        settle(outside, "z")
+        1 / 0
+    assert not os.path.exists(failed.removeprefix("file:"))
