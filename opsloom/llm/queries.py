@@ -18,7 +18,7 @@ from opsloom.llm.conversations import repair_conversations
 from opsloom.llm.exact import exact_groups
 from opsloom.llm.fingerprints import edited_fingerprints
 from opsloom.llm.licences import BASE, scan_licences
-from opsloom.llm.mixing import mix
+from opsloom.llm.mixing import mix_sizes
 from opsloom.llm.ngrams import near_components
 from opsloom.llm.personal import find_personal
 from opsloom.llm.quality import with_quality
@@ -60,7 +60,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    drawn = mix_sizes(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
 
 
