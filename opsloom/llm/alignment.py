@@ -9,7 +9,7 @@ Null and empty texts, and texts whose A or B tokens do not spell the space and t
 counts of zero and '' for the groups. Every row gives one row, repeated rows and doc_ids included. All columns of
 ``docs`` but the text are kept; added columns whose names they use get a leading underscore.
 
-How often two ids are linked is counted over all rows: rows are cut into chunks (one batch, some megabytes of text, or
+How often two ids are linked is counted over all rows: rows are cut into chunks (some hundred rows, some megabytes of text, or
 one longer text), each chunk gives every pair of ids once with a count, the counts are summed and the sums joined back
 to the chunks' pairs. So nothing the size of the vocabularies' product is sent around, and no row of the joins belongs
 to a single document or a single frequent pair. Between the passes a chunk keeps its links as compressed numbers of its
@@ -37,7 +37,9 @@ from opsloom.session import fresh_dir
 #: Words of more characters go to the encoder whose time stays in proportion to them; both give the same ids.
 LONG_WORD = 20_000
 #: Words whose tokens a Python worker keeps, and new words that are encoded as one text.
-KEPT_WORDS, TOGETHER = 300_000, 500
+KEPT_WORDS, TOGETHER = 200_000, 500
+#: Rows of a chunk at most; a chunk is a part of one batch.
+CHUNK_ROWS = 400
 _TWO_SPACES = re.compile(r"\s\s")
 #: The sign that pieces have for a space.
 _MARK = "▁"
@@ -284,10 +286,9 @@ def _encoded(docs, kept, shared, key: str, names: dict[str, str], text: str, wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, task = _aligner(key, *shared.value), TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
+        parts = (batch.slice(k, CHUNK_ROWS) for batch in batches for k in range(0, batch.num_rows, CHUNK_ROWS))
+        for number, batch in enumerate(parts):
             rows = batch.num_rows
-            if not rows:
-                continue
             (a, b), (n_a, n_b) = aligner.tokens(batch.column(text).to_pylist())
             lengths_a, lengths_b = aligner.lengths_a[a], aligner.lengths_b[b]
             of_a, of_b, groups = coalesced(lengths_a, lengths_b)
