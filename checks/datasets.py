@@ -11,7 +11,7 @@ from opsloom.functions import calendar as cal
 from opsloom.operators.generators import month_spine
 from opsloom.operators.relations import zero_fill
 from opsloom.plans import activity, agents, cases, chat, crm, experiments, phone, productivity, profitability, weekly
-from opsloom.session import fresh_dir, settle
+from opsloom.session import fresh_dir
 from opsloom.sources.companions import save_companion, touched_on, touched_since
 from opsloom.sources.tables import present
 
@@ -266,10 +266,9 @@ def _(t: Standins) -> DataFrame:
 
 
 def team_days(t: Standins, surveys: bool = True) -> DataFrame:
-    """Roll-ups read stored scorecards, so each scorecard is computed once and branches share it."""
+    """Each scorecard is read by one branch, cut down to the columns that the roll-up needs."""
     return productivity.team_days(
-        settle(phone_scorecard(t), "phone-card"), settle(demo_scorecard(t), "chat-card"),
-        excluded_emails=si.EXCLUDED_EMAILS, surveys=surveys,
+        phone_scorecard(t), demo_scorecard(t), excluded_emails=si.EXCLUDED_EMAILS, surveys=surveys
     )
 
 

@@ -68,14 +68,12 @@ def contact_cases(cases: DataFrame) -> DataFrame:
 
 def user_arms(assignments: DataFrame, cases: DataFrame) -> DataFrame:
     """Users, users with a case and cases after exposure, per arm of user-level experiments."""
-    return _user_arms(assignments, settle(contact_cases(cases), "contact-cases"))
+    return _user_arms(assignments, contact_cases(cases))
 
 
 def _user_arms(assignments: DataFrame, found: DataFrame) -> DataFrame:
     until = F.coalesce(F.col("experiment_stop_time"), far_future())
-    exposed = settle(
-        user_buckets(assignments).select(*ARM, "user_id", "min_assignment_time", until.alias("until")), "user-exposure"
-    )
+    exposed = user_buckets(assignments).select(*ARM, "user_id", "min_assignment_time", until.alias("until"))
     counted = count_in_intervals(
         exposed,
         found.filter(F.col("case_id").isNotNull()),
@@ -124,14 +122,13 @@ def request_members(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def _role_bounds(members: DataFrame) -> DataFrame:
     """Start and stop of each experiment over the requests that have users of a role; one row per experiment."""
-    bounds = members.groupBy("experiment_id").agg(
+    return members.groupBy("experiment_id").agg(
         *[
             agg(F.when(F.col(f"n_{role}") > 0, F.col(source))).alias(f"{role}_{name}")
             for role in ROLES
             for name, agg, source in (("start", F.min, "first_time"), ("stop", F.max, "stop_time"))
         ]
     )
-    return settle(bounds, "role-bounds")
 
 
 def _bounds_of(roles: Column) -> list[Column]:
@@ -149,9 +146,10 @@ def _bounds_of(roles: Column) -> list[Column]:
 def request_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
     """Users touched by each assigned request, once per role, with the times of user and experiment in that role.
 
-    Rows that would repeat are kept once with their ``row_count``. Times are epoch milliseconds.
+    Rows that would repeat are kept once with their ``row_count``. Times are epoch milliseconds. Nothing
+    is written and no job runs here: the branches share the exchanges of assignments and quotes.
     """
-    members = settle(request_members(assignments, quotes), "request-members")
+    members = request_members(assignments, quotes)
     per_role = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"n_{r}").alias("n_quotes")) for r in ROLES])
     rows = members.select("*", F.inline(per_role)).filter("n_quotes > 0")
     rows = with_group_values(
@@ -173,9 +171,10 @@ def request_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
 def unified_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
     """One row per experiment, bucket, request and user over both roles.
 
-    First and last assignment are the user's over the whole experiment.
+    First and last assignment are the user's over the whole experiment. Like ``request_exposure``, this
+    writes nothing and runs no job.
     """
-    members = settle(request_members(assignments, quotes), "request-members")
+    members = request_members(assignments, quotes)
     timed = with_group_values(
         members,
         ["experiment_id", "user_id"],
@@ -226,7 +225,7 @@ def _user_spans(members: DataFrame) -> DataFrame:
     )
     present = F.array_compact(F.array(*[F.when(F.col(f"is_{kind}"), F.lit(kind)) for kind in kinds]))
     rows = users.select("experiment_id", "user_id", "first_time", "n_requests", F.explode(present).alias("roles"))
-    bounded = rows.alias("s").join(_role_bounds(members).alias("b"), same_key("s", "b", ["experiment_id"])).select(
+    bounded = rows.alias("s").join(settle(_role_bounds(members), "role-bounds").alias("b"), same_key("s", "b", ["experiment_id"])).select(
         "s.*", *_bounds_of(F.col("s.roles"))
     )
     stop = from_millis(F.col("experiment_stop_time"))
