@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from checks import standins as si
 from checks.registry import query
 from checks.standins import Standins
 from opsloom.functions import calendar as cal
+from opsloom.operators.bitmaps import distinct_ids, id_bitmaps
 from opsloom.operators.generators import month_spine
-from opsloom.operators.relations import zero_fill
+from opsloom.operators.relations import union_by_position, zero_fill
 from opsloom.plans import activity, agents, cases, chat, crm, experiments, phone, productivity, profitability, weekly
 from opsloom.session import fresh_dir
 from opsloom.sources.companions import save_companion, touched_on, touched_since
-from opsloom.sources.tables import present
+from opsloom.sources.tables import present, read_dataset, save_bucketed, save_dataset
 
 EVENTS = {"as_of": si.EVENTS_AS_OF}
 LONG = {**EVENTS, "look_back": si.LONG_LOOK_BACK}
@@ -318,6 +321,79 @@ def _(t: Standins) -> DataFrame:
     return present(board, "week")
 
 
+# --- the same from stored bitmaps and bucketed scorecards -----------------------------------------
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = fresh_dir(df.sparkSession, label)
+    save_dataset(df, path)
+    return read_dataset(df.sparkSession, path)
+
+
+@query("weekly_visitors_from_bitmaps", relation="weekly_visitors")
+def _(t: Standins) -> DataFrame:
+    """Daily bitmaps written by one job and merged into weeks by the next."""
+    return weekly.weekly_visitors_from_bitmaps(_stored(weekly.visitor_bitmaps(t("visits"), start=si.BOARD_START), "visitors"))
+
+
+@query(
+    "visitors_by_period",
+    sql="""SELECT 'day' AS period, visit_date AS first_day, count(DISTINCT visitor_pk) AS visitors FROM visits WHERE ip_sessions < 100 GROUP BY 2
+        UNION ALL SELECT 'week', date_trunc('week', visit_date)::date, count(DISTINCT visitor_pk) FROM visits WHERE ip_sessions < 100 GROUP BY 2
+        UNION ALL SELECT 'month', date_trunc('month', visit_date)::date, count(DISTINCT visitor_pk) FROM visits WHERE ip_sessions < 100 GROUP BY 2""",
+)
+def _(t: Standins) -> DataFrame:
+    """Days, weeks and months from one set of daily bitmaps."""
+    daily = _stored(weekly.visitor_bitmaps(t("visits"), start=date(2000, 1, 1)), "visitors")
+    day = F.col("visit_date")
+    periods = {"day": day, "week": cal.week_of(day), "month": cal.month_of(day)}
+    counts = [distinct_ids(daily, [p.alias("first_day")], "visitors").select(F.lit(n).alias("period"), "first_day", "visitors") for n, p in periods.items()]
+    return union_by_position(*counts)
+
+
+@query(
+    "exposed_users_rolled_up",
+    sql="""SELECT experiment_id, bucket_id, count(DISTINCT user_id) AS users FROM user_assignments WHERE user_id IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT experiment_id, 'all buckets', count(DISTINCT user_id) FROM user_assignments WHERE user_id IS NOT NULL GROUP BY ALL""",
+)
+def _(t: Standins) -> DataFrame:
+    """Users per arm, and per experiment over all arms, from the arms' bitmaps."""
+    arms = _stored(id_bitmaps(t("user_assignments"), ["experiment_id", "bucket_id"], "user_id"), "arms")
+    per_arm = distinct_ids(arms, ["experiment_id", "bucket_id"], "users")
+    per_experiment = distinct_ids(arms, ["experiment_id"], "users")
+    return union_by_position(per_arm, per_experiment.select("experiment_id", F.lit("all buckets"), "users"))
+
+
+def bucketed(df: DataFrame, label: str) -> DataFrame:
+    """A scorecard stored by a job of its own, dealt out by day."""
+    path = fresh_dir(df.sparkSession, label)
+    table = "opsloom_" + path.rsplit("/", 1)[1].replace("-", "_")
+    save_bucketed(df, table, by=["index_date"], buckets=8, path=path)
+    return df.sparkSession.table(table)
+
+
+def stored_team_days(t: Standins, surveys: bool = True) -> DataFrame:
+    return productivity.team_days(
+        bucketed(phone_scorecard(t), "phone-card"), bucketed(demo_scorecard(t), "chat-card"),
+        excluded_emails=si.EXCLUDED_EMAILS, surveys=surveys,
+    )
+
+
+@query("team_productivity_bucketed", relation="team_days")
+def _(t: Standins) -> DataFrame:
+    return present(stored_team_days(t), "team_name", "index_date")
+
+
+@query("weekly_board_bucketed", relation="weekly_board")
+def _(t: Standins) -> DataFrame:
+    per_hour = weekly.weekly_cases_per_hour(stored_team_days(t, surveys=False))
+    board = weekly.weekly_board(
+        _visitors(t), _requests(t), _contacts(t), _case_mix(t), _top_two(t), per_hour, t("support_costs"),
+        start=si.BOARD_START, **EVENTS,
+    )
+    return present(board, "week")
+
+
 # --- experiments ----------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from checks.standins import Standins
 from opsloom.functions import calendar as cal, casts, conditions as cond, measures as ms
 from opsloom.functions.conditions import CHANNELS as CHANNEL_NAMES
 from opsloom.operators import generators, panel, relations
-from opsloom.operators.intervals import count_in_intervals, join_in_interval
+from opsloom.operators.intervals import count_in_intervals, join_in_interval, join_on_days
 from opsloom.plans import experiments, profitability
 from opsloom.sources.tables import present, register_view
 
@@ -261,6 +261,16 @@ def _(t: Standins) -> DataFrame:
     return _events_in_weeks(t, "left")
 
 
+@query("interval_join_on_days", sql=_interval_sql("INNER"))
+def _(t: Standins) -> DataFrame:
+    """The same as an equi-join on user and day."""
+    events = t.driver("events").select(F.col("user_id").alias("actor"), "event_id", cal.utc_date(F.col("ts")).alias("day"))
+    return join_on_days(
+        _first_weeks(t), events, key="user_id", fact_key="actor", day="day", start="first_day", end="last_day",
+        first=date(1970, 1, 1), last=date(2100, 1, 1),
+    ).select("user_id", "first_day", "last_day", "event_id")
+
+
 @query(
     "interval_join_cast_key",
     sql="""SELECT a.tt_admin_id, a.date_team_start, l.cre_credit_log_id FROM phone_stints a JOIN credit_log l

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opsloom.operators.generators import explode_days
+
 
 def join_in_interval(
     intervals: DataFrame,
@@ -24,6 +27,20 @@ def join_in_interval(
     return intervals.join(facts, key & at.between(start, end), how)
 
 
+def join_on_days(
+    intervals: DataFrame, facts: DataFrame, *, key: str, fact_key: str, day: str, start: str, end: str, first: date, last: date
+) -> DataFrame:
+    """Inner join of facts with the intervals of their key that cover their day, for days from ``first`` to ``last``.
+
+    Intervals become one row per day, so key and day are both equi-keys: no row is compared with an
+    interval that does not cover it, however many intervals or facts a key has, and a hot key is dealt
+    out by its days. Worth it where a key has many intervals; with a few, ``join_in_interval`` moves less.
+    """
+    days = explode_days(intervals, start, end, first, last, "_covered_day")
+    covered = days.join(facts, (F.col(key) == F.col(fact_key)) & (F.col("_covered_day") == F.col(day)))
+    return covered.drop("_covered_day")
+
+
 def spread_over_stints(
     daily: DataFrame,
     stints: DataFrame,

@@ -13,18 +13,27 @@ from opsloom.operators.relations import union_by_position
 PHONE_UNITS_PER_HOUR = 60
 CHAT_UNITS_PER_HOUR = 3600
 
-# Team labels.
+# Team labels of the published datasets.
 OUTSOURCED = "IBEX"
 PHONE_TEAM = "TSL Phone"
+FIRST_LEVEL = "1"
 
 SURVEY_MEASURES = ("ltc_responses", "ltc_top2")
 
 
-def phone_team_days(card: DataFrame, *, excluded_emails: Sequence[str], surveys: bool = True) -> DataFrame:
-    """First-level phone agents by team and day; agents without a manager belong to the in-house team."""
-    team = F.when(F.col("manager_name") == OUTSOURCED, OUTSOURCED).otherwise(PHONE_TEAM)
+def phone_team_days(
+    card: DataFrame, *, excluded_emails: Sequence[str], surveys: bool = True, outsourced: Sequence[str] = (OUTSOURCED,),
+    in_house: str = PHONE_TEAM, level: str = FIRST_LEVEL,
+) -> DataFrame:
+    """Phone agents of a level by team and day.
+
+    Agents whose manager stands for an ``outsourced`` partner belong to it; all others, those without a
+    manager too, to the ``in_house`` team.
+    """
+    manager = F.col("manager_name")
+    team = F.when(manager.isin(list(outsourced)), manager).otherwise(in_house)
     return (
-        card.filter((F.col("emp_lvl") == "1") & not_in(F.col("email_address"), excluded_emails))
+        card.filter((F.col("emp_lvl") == level) & not_in(F.col("email_address"), excluded_emails))
         .groupBy(team.alias("team_name"), "index_date")
         .agg(
             F.sum("closed_cases").alias("closed_cases"),
@@ -47,10 +56,13 @@ def chat_team_days(card: DataFrame, *, excluded_emails: Sequence[str], surveys:
 
 
 def team_days(
-    phone_card: DataFrame, chat_card: DataFrame, *, excluded_emails: Sequence[str], surveys: bool = True
+    phone_card: DataFrame, chat_card: DataFrame, *, excluded_emails: Sequence[str], surveys: bool = True,
+    outsourced: Sequence[str] = (OUTSOURCED,), in_house: str = PHONE_TEAM, level: str = FIRST_LEVEL,
 ) -> DataFrame:
     """Both organisations' team days, one below the other."""
     return union_by_position(
-        phone_team_days(phone_card, excluded_emails=excluded_emails, surveys=surveys),
+        phone_team_days(
+            phone_card, excluded_emails=excluded_emails, surveys=surveys, outsourced=outsourced, in_house=in_house, level=level
+        ),
         chat_team_days(chat_card, excluded_emails=excluded_emails, surveys=surveys),
     )

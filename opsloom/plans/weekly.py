@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opsloom.functions.calendar import midnight, utc_date, week_of
 from opsloom.functions.conditions import CHANNELS, EXCLUDED_CATEGORIES, in_not_null, is_false, is_true, not_in_or_null
 from opsloom.functions.measures import count_when, share, sum_when, top_two_rate
+from opsloom.operators.bitmaps import distinct_ids, id_bitmaps
 from opsloom.plans.chat import CHAT_TEAMS
 from opsloom.plans.productivity import OUTSOURCED, PHONE_TEAM
 
@@ -32,6 +33,18 @@ def weekly_visitors(visits: DataFrame, *, start: date = BOARD_START, partition:
     )
 
 
+def visitor_bitmaps(visits: DataFrame, *, start: date = BOARD_START, partition: str = "partition_date") -> DataFrame:
+    """Visitors per day as bitmaps, heavy addresses left out; stored, they answer weeks and months without the visits."""
+    counted = visits.filter((F.col(partition) >= F.lit(start)) & (F.col("ip_sessions") < BOT_SESSIONS))
+    return id_bitmaps(counted, ["visit_date"], "visitor_pk")
+
+
+def weekly_visitors_from_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """``weekly_visitors`` from stored daily bitmaps."""
+    weeks = distinct_ids(bitmaps, [week_of(F.col("visit_date")).alias("week")], "visitors")
+    return weeks.select("week", "visitors", (F.col("visitors") / VISITOR_UNIT).alias("visitors_10k"))
+
+
 def weekly_requests(requests: DataFrame, *, start: date = BOARD_START) -> DataFrame:
     return (
         requests.filter(F.col("create_time") >= midnight(start))
@@ -108,10 +121,14 @@ def weekly_top_two(cases: DataFrame, *, start: date = SURVEY_START) -> DataFrame
     )
 
 
-def weekly_cases_per_hour(team_days: DataFrame, chat_teams: Sequence[str] = CHAT_TEAMS) -> DataFrame:
-    """Closed cases per hour worked and closed cases, per week and group of teams."""
+# Groups of teams on the board, as (column suffix, team labels).
+TEAM_GROUPS = {"tsl": (PHONE_TEAM,), "ibex": (OUTSOURCED,), "tph": CHAT_TEAMS}
+
+
+def weekly_cases_per_hour(team_days: DataFrame, groups: Mapping[str, Sequence[str]] = TEAM_GROUPS) -> DataFrame:
+    """Closed cases per hour worked and closed cases, per week and group of teams: suffix -> team labels."""
     closed, hours, team = F.col("closed_cases"), F.col("hours_worked"), F.col("team_name")
-    groups = [("tsl", team == PHONE_TEAM), ("ibex", team == OUTSOURCED), ("tph", team.isin(list(chat_teams)))]
+    groups = [(suffix, team.isin(list(labels))) for suffix, labels in groups.items()]
     return team_days.groupBy(week_of(F.col("index_date")).alias("week")).agg(
         share(F.sum(closed), F.sum(hours)).alias("cph"),
         *[share(sum_when(g, closed), sum_when(g, hours)).alias(f"cph_{n}") for n, g in groups],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,6 +34,17 @@ def read_since(spark: SparkSession, path: str, partition: str, start: date) -> D
     return spark.read.parquet(path).filter(F.col(partition) >= F.lit(start))
 
 
+def save_bucketed(df: DataFrame, table: str, *, by: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """Write a table whose files are dealt out by a hash of some columns.
+
+    Grouping on those columns and more, and joining on them with a table of as many buckets, then needs
+    no shuffle. Rows are dealt the same way before they are written, so a bucket is one file. Choose
+    columns of which no single value holds much of the data.
+    """
+    writer = df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def append_table(df: DataFrame, table: str, *, path: str | None = None) -> None:
     """Append to a table, making it on first use."""
     writer = df.write.mode("append")
