@@ -10,8 +10,10 @@ sets; a shingle whose holders are then all in one component is done. After ``STA
 each time, the shingles that still join different components give all their pairs across components. No link is lost:
 every pair that shares a prefix shingle is either in one component already or verified.
 
-Candidates pass the length filter and the positional filter in the join, the suffix filter (counts of the rest of both
-sets by hash range bound their difference), and are verified once per pair.
+Candidates pass the length filter and the positional filter in the join, and for all pairs a bitmap filter as well (one
+parity bit per hash bucket: the bits in which two sets differ are at most the shingles in which they do); then the
+suffix filter (counts of the rest of both sets by hash range bound their difference), and are verified once per pair.
+A shingle with many open holders is dealt over several tasks.
 
 Null, empty and wordless texts have no shingles and link with nothing. Rows with shingles and the same doc_id count as
 one document for links; all rows are returned. Documents of fewer than five words are one shingle.
@@ -34,6 +36,9 @@ from opsloom.session import settle
 #: Cells of the sketch of shingle counts (2 MB on the driver, whatever the input).
 CELLS = 1 << 18
 STARS = 2
+#: Long values of the bitmap, 64 parity bits each, and open holders of a shingle that one task pairs with all others.
+BITMAP = [f"s{i}" for i in range(8)]
+PAIRED = 512
 
 
 def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -68,6 +73,12 @@ def _ranges(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((hashes >> np.uint64(32)).astype(np.int64) * ranges >> 32, minlength=ranges), 255).astype(np.uint8)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles per hash bucket, as 64-bit values."""
+    odd = np.bincount((hashes >> np.uint64(8)).astype(np.int64) & (64 * len(BITMAP) - 1), minlength=64 * len(BITMAP)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def range_difference(a: bytes, b: bytes) -> int:
     """Lower bound of the size of the symmetric difference, from counts by hash range."""
     x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
@@ -91,14 +102,14 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     n = len(found)
                     keep = n - (percent * n + 99) // 100 + 1 if n else 0
                     rare = np.argsort(counts.value[_cell(found)], kind="stable")[:keep]  # ties by hash
-                    rows.append((n, _digest(found), found[rare].view(np.int64), _ranges(found).tobytes()))
-                n, digests, prefix, ranges = zip(*rows)
+                    rows.append((n, _digest(found), found[rare].view(np.int64), _ranges(found).tobytes(), _parities(found)))
+                n, digests, prefix, ranges, parities = zip(*rows)
                 lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(digests), listed, pa.array(ranges, pa.binary())],
-                                                 ["doc_id", "n", "digest", "prefix", "ranges"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(digests), listed, pa.array(ranges, pa.binary()), *map(pa.array, np.stack(parities).T)],
+                                                 ["doc_id", "n", "digest", "prefix", "ranges", *BITMAP])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest string, prefix array<bigint>, ranges binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest string, prefix array<bigint>, ranges binary, " + ", ".join(f"{s} long" for s in BITMAP))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,7 +188,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     made = settle(prefixes(docs, size, percent), "prefixes")
     known = made.where("doc_id is not null and n > 0")
     # classes: one per distinct set, grouped with the sets' prefixes so that equal ones merge per task, numbered as written
-    reps = known.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "prefix", "ranges"), "doc_id").alias("r")).select("digest", "r.*")
+    reps = known.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "prefix", "ranges", *BITMAP), "doc_id").alias("r")).select("digest", "r.*")
     reps = settle(reps.withColumn("class", F.monotonically_increasing_id()), "classes")
     entries = reps.select("class", "n", F.posexplode("prefix").alias("place", "token")).repartition("token")
     shared = entries.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
@@ -196,16 +207,21 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         return (f"100 * least({n}, {n2}) >= {percent} * greatest({n}, {n2}) and"
                 f" ({100 + percent}) * (least({place}, {place2}) + least({n} - {place}, {n2} - {place2})) >= {percent} * ({n} + {n2})")
 
+    differ = " + ".join(f"bit_count({s} ^ other.{s})" for s in BITMAP)
+    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
     for turn in range(STARS + 1):
         rows = labelled()
-        open_ = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "n", "place", "root"), F.xxhash64("class", F.lit(turn))).alias("centre")).where("r0 != r1")
+        open_ = rows.groupBy("token").agg(F.count("*").alias("holders"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "n", "place", "root"), F.xxhash64("class", F.lit(turn))).alias("centre")).where("r0 != r1")
         if turn < STARS:
             pairs = (rows.join(open_.select("token", "centre"), "token").where("root != centre.root").where(fits("n", "place", "centre.n", "centre.place"))
                      .select(F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b")))
         else:
-            live = rows.join(open_.select("token"), "token")
-            other = live.select("token", F.col("class").alias("d2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("root").alias("r2"))
-            pairs = live.join(other, "token").where("root < r2").where(fits("n", "place", "n2", "p2")).select(F.least("class", "d2").alias("a"), F.greatest("class", "d2").alias("b"))
+            live = rows.join(open_.select("token", F.expr(f"holders div {PAIRED}").alias("parts")), "token").join(reps.select("class", *BITMAP), "class")
+            mine = live.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts") + 1))
+            other = live.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"), F.col("class").alias("d2"), F.col("n").alias("n2"),
+                                F.col("place").alias("p2"), F.col("root").alias("r2"), F.struct(*BITMAP).alias("other"))
+            met = mine.join(other, (mine["token"] == other["token"]) & (mine["part"] == other["part"]) & F.expr("root < r2") & F.expr(fits("n", "place", "n2", "p2")) & F.expr(alike))
+            pairs = met.select(F.least("class", "d2").alias("a"), F.greatest("class", "d2").alias("b"))
         pairs = pairs.distinct()
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
         if pairs.isEmpty():
