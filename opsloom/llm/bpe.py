@@ -9,6 +9,10 @@ a word is encoded by following table entries; no merge is replayed. Decoding emi
 A state that a gadget makes differs from its origin by one arc, so states are kept as chains of cuts and an arc is
 resolved along the chain when it is first taken; the answer goes into the transition table.
 
+Words are read once, symbol by symbol, by a trie of all arcs' labels with failure links, which gives the arcs that end
+at each place. As the path of a word's beginning is the beginning of some path, each place has one last arc: the one
+that the state before it lets through. The word's path is read off from its end; nothing is tried twice.
+
 Null texts count as empty and give no tokens. Added tokens (``<|endoftext|>``) are recognised in the raw text.
 """
 
@@ -19,14 +23,16 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from opsloom.llm.common import own_name, widened
 
-#: Words whose tokens a Python worker keeps: twice so many at most, those seen last stay.
-KEPT_WORDS = 150_000
+#: Words that a Python worker keeps, alone and with what stands beside them without a space.
+KEPT_WORDS = 100_000
 #: Separators that ``str.split`` takes for white space and the pattern does not.
 _NO_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -41,8 +47,8 @@ def _byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
-#: Symbols at the front of a token by which the lengths of its continuations are looked up.
-HEAD = 3
+#: Stands for the end of a word; no byte has it as its symbol.
+END = "\0"
 
 
 class Automaton:
@@ -62,13 +68,15 @@ class Automaton:
                 self._arc(token, i)
         for number, (a, b) in enumerate(merges, 1):
             self._gadget(number, vocab[a], vocab[b], a + b, vocab[a + b])
-        # lengths of the tokens that begin with these symbols, longest first: no other arcs leave from here
-        found: dict[str, set[int]] = {}
-        for token in [*self.inner, *self.last]:
-            if len(token) >= HEAD:
-                found.setdefault(token[:HEAD], set(range(1, HEAD))).add(len(token))
-        self.lengths = {head: sorted(of, reverse=True) for head, of in found.items()}
-        self.short = range(HEAD - 1, 0, -1)
+        # labels of the arcs, those at the end of a word with a sign for the end, read by failure links
+        self.trie = ahocorasick.Automaton()
+        self.sign = END if end else ""
+        for token, i in self.inner.items():
+            self.trie.add_word(token, (len(token), i))
+        for token, i in self.last.items() if end else ():
+            self.trie.add_word(token + END, (len(token) + 1, i))
+        if len(self.trie):
+            self.trie.make_automaton()
 
     def _arc(self, token: str, i: int) -> None:
         self.born.setdefault(i, 0)
@@ -99,46 +107,39 @@ class Automaton:
                 upto, b = since_b, self.parts[b][0]
 
     def follows(self, a: int, b: int) -> bool:
-        """Transition table entry, filled when first asked for."""
-        known = self.table.get((a, b))
-        if known is None:
-            if len(self.table) > 1_000_000:
-                self.table.clear()
-            known = self.table[a, b] = self._open(a, b, 1 << 60)
+        """Fill a transition table entry: one number for the two arcs, whether the second may follow."""
+        if len(self.table) > 1_000_000:
+            self.table.clear()
+        known = self.table[a << 32 | b] = self._open(a, b, 1 << 60)
         return known
 
     def encode(self, word: str) -> list[int]:
         """Tokens of one word of byte symbols: the only path of the automaton that spells it."""
-        n, inner, last, lengths, short = len(word), self.inner.get, self.last.get, self.lengths.get, self.short
+        if not word:
+            return []
+        word += self.sign
         known, follows = self.table.get, self.follows
-        path: list[int] = []
-        begins: list[int] = []
-        at, most, before, dead = 0, n, None, set()
-        while at < n:
-            for k in lengths(word[at : at + HEAD], short):
-                if k > most:
+        arc: list[int | None] = [None] * (len(word) + 1)  # the last arc of the path up to each place
+        size = [0] * (len(word) + 1)
+        for end, (length, token) in self.trie.iter(word):
+            end += 1
+            if arc[end] is not None:
+                continue
+            if length < end:
+                before = arc[end - length]
+                if before is None:
                     continue
-                end = at + k
-                token = last(word[at:]) if end == n else inner(word[at:end])
-                if token is None or dead and (end, token) in dead:
+                open_ = known(before << 32 | token)
+                if not (follows(before, token) if open_ is None else open_):
                     continue
-                if before is not None:
-                    open_ = known((before, token))
-                    if open_ is None:
-                        open_ = follows(before, token)
-                    if not open_:
-                        continue
-                path.append(token)
-                begins.append(at)
-                at, most, before = end, n - end, token
-                break
-            else:
-                if not path:
-                    raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-                dead.add((at, path.pop()))
-                begun = begins.pop()
-                at, most, before = begun, at - begun - 1, path[-1] if path else None
-        return path
+            arc[end], size[end] = token, length
+        path, at = [], len(word)
+        while at:
+            if arc[at] is None:
+                raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
+            path.append(arc[at])
+            at -= size[at]
+        return path[::-1]
 
 
 class Tokenizer:
@@ -154,12 +155,15 @@ class Tokenizer:
         pattern = source["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.symbols = _byte_symbols()
-        self.known: dict[str, tuple[int, str, str, list[int]]] = {}
-        self.older: dict[str, tuple[int, str, str, list[int]]] = {}
+        self.symbols = dict(enumerate(_byte_symbols()))
+        # what stood between two spaces, and single words: two generations each, those seen last stay
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.words_known: dict[str, tuple[int, str, str]] = {}
+        self.words_older: dict[str, tuple[int, str, str]] = {}
 
     def spelled(self, word: str) -> str:
-        return "".join([self.symbols[b] for b in word.encode("utf-8")])
+        return word.encode("utf-8").decode("latin-1").translate(self.symbols)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -168,38 +172,52 @@ class Tokenizer:
         # lower case by single characters, so that a final sigma is no special case
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def entry(self, word: str) -> tuple[int, str, str, list[int]]:
-        """(number of tokens, ids as text, labels as text, ids) of one pre-split word."""
-        found = self.older.get(word)
+    def word_entry(self, word: str) -> tuple[int, str, str]:
+        """(number of tokens, ids as text, labels as text) of one pre-split word."""
+        found = self.words_known.get(word)
         if found is None:
-            ids = self.automaton.encode(self.spelled(word))
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids), ids)
+            found = self.words_older.get(word)
+            if found is None:
+                ids = self.automaton.encode(self.spelled(word))
+                found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            if len(self.words_known) >= KEPT_WORDS:
+                self.words_older, self.words_known = self.words_known, {}
+            self.words_known[word] = found
+        return found
+
+    def entry(self, chunk: str) -> tuple[int, str, str]:
+        """The same of what stands between two spaces."""
+        found = self.older.get(chunk)
+        if found is None:
+            words = self.words.findall(chunk)
+            if len(words) == 1:
+                found = self.word_entry(words[0])
+            else:
+                parts = [self.word_entry(w) for w in words]
+                found = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         if len(self.known) >= KEPT_WORDS:
-            self.older = dict(self.known)
-            self.known.clear()
-        self.known[word] = found
+            self.older, self.known = self.known, {}
+        self.known[chunk] = found
         return found
 
-    def entries(self, text: str) -> list[tuple[int, str, str, list[int]]]:
-        """Entries of all words. No word holds white space, and a chunk between spaces is mostly one word known by now."""
+    def entries(self, text: str) -> list[tuple[int, str, str]]:
+        """Entries of all chunks between spaces that have tokens. No word holds white space, so chunks are split alone."""
         pieces = self.split_added.split(text) if self.split_added and "<" in text else [text]
-        found, known, entry, words = [], self.known, self.entry, self.words.findall
+        found = []
         for piece in pieces:
             if piece in self.added:
                 i = self.added[piece]
-                found.append((1, str(i), self.labels[i], [i]))
+                found.append((1, str(i), self.labels[i]))
                 continue
             piece = self.normal(piece)
-            for chunk in piece.split(" ") if _NO_SPACE.search(piece) else piece.split():
-                whole = known.get(chunk)  # keys are words, and a word is split no further
-                if whole is not None:
-                    found.append(whole)
-                else:
-                    found += [known.get(w) or entry(w) for w in words(chunk)]
+            chunks = piece.split(" ") if _NO_SPACE.search(piece) else piece.split()
+            for k in range(0, len(chunks), KEPT_WORDS):
+                entry = self.entry
+                found += [e for e in [self.known.get(c) or entry(c) for c in chunks[k : k + KEPT_WORDS]] if e[0]]
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for e in self.entries(text or "") for i in e[3]]
+        return [int(i) for e in self.entries(text or "") for i in e[1].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs that the ids stand for."""
@@ -207,19 +225,19 @@ class Tokenizer:
         return " ".join([labels[i] for i in ids])
 
 
-def read_source(path: str) -> dict:
+def read_source(path: str) -> str:
     """The vocabulary file, read on the driver and sent with the tasks (about 2 MB for 49,000 tokens)."""
     with open(path, encoding="utf-8") as file:
-        return json.load(file)
+        return file.read()
 
 
 _built: dict[str, Tokenizer] = {}
 
 
-def tokenizer_of(source: dict, key: str) -> Tokenizer:
+def tokenizer_of(source: str, key: str) -> Tokenizer:
     """One automaton per Python worker and vocabulary."""
     if key not in _built:
-        _built[key] = Tokenizer(source)
+        _built[key] = Tokenizer(json.loads(source))
     return _built[key]
 
 
@@ -230,7 +248,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
     repeated results. Texts are worked on one by one; only the tokens of single words are kept between them.
     """
     source = read_source(path)
-    key = hashlib.sha256(json.dumps(source, sort_keys=True).encode()).hexdigest()
+    key = hashlib.sha256(source.encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(source)
     names = [own_name(docs, n) for n in ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")[: 4 if with_ids else 3]]
     schema = widened(docs, **dict(zip(names, ("long", "string", "string", "array<int>"))))
@@ -243,10 +261,11 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
             for value in batch.column(text):
                 entries = tokenizer.entries(value.as_py() or "")
                 columns[0].append(sum([e[0] for e in entries]))
-                columns[1].append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
+                ids = " ".join([e[1] for e in entries])
+                columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 columns[2].append(hashlib.sha256(" ".join([e[2] for e in entries]).encode()).hexdigest())
                 if with_ids:
-                    columns[3].append([i for e in entries for i in e[3]])
+                    columns[3].append(np.array(ids.split(" "), np.int32) if ids else [])
             made = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
