@@ -145,7 +145,8 @@ class Automaton:
 class Tokenizer:
     """A ``tokenizers`` JSON file with byte-level BPE, word ends, lower case and dropped white space."""
 
-    def __init__(self, source: dict):
+    def __init__(self, source: dict, lower: dict[int, str] | None = None, classed: dict[int, str] | None = None):
+        self.lower, self.classed = lower or {}, classed or {}
         model = source["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
@@ -172,6 +173,11 @@ class Tokenizer:
         # lower case by single characters, so that a final sigma is no special case
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def split_words(self, chunk: str) -> list[str]:
+        """Words by the classes of the library: characters that Python's tables class otherwise stand in for their class."""
+        chunk = chunk.translate(self.lower)
+        return [chunk[a:b] for a, b in (m.span() for m in self.words.finditer(chunk.translate(self.classed)))]
+
     def word_entry(self, word: str) -> tuple[int, str, str]:
         """(number of tokens, ids as text, labels as text) of one pre-split word."""
         found = self.words_known.get(word)
@@ -189,7 +195,7 @@ class Tokenizer:
         """The same of what stands between two spaces."""
         found = self.older.get(chunk)
         if found is None:
-            words = self.words.findall(chunk)
+            words = self.words.findall(chunk) if chunk.isascii() else self.split_words(chunk)
             if len(words) == 1:
                 found = self.word_entry(words[0])
             else:
@@ -231,13 +237,39 @@ def read_source(path: str) -> str:
         return file.read()
 
 
+def newer_characters(source: str) -> tuple[dict[int, str], dict[int, str]]:
+    """How the ``tokenizers`` library takes characters that Python's own Unicode tables do not have yet.
+
+    (lower case, character of the same class) by code point, asked from the library once, on the driver, for those
+    characters that the ``regex`` module calls letters or numbers and ``unicodedata`` does not know.
+    """
+    from tokenizers import Tokenizer as Library
+
+    library, letter, number = Library.from_str(source), regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+    doubtful = [c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Cn" and (letter.match(c) or number.match(c))]
+    lower = {ord(c): low for c in doubtful if (low := library.normalizer.normalize_str(c)) != Tokenizer.normal(c) and len(low) == 1}
+    classed = {}
+    # between two x a letter joins them; twice between two x, a number gives two words and any other character one
+    for c, (begin, between) in zip(doubtful, _boundaries(library, doubtful)):
+        kind = "a" if not begin else "1" if between else "!"
+        if kind != ("a" if letter.match(c) else "1"):
+            classed[ord(c)] = kind
+    return lower, classed
+
+
+def _boundaries(library, characters: list[str]) -> list[tuple[bool, bool]]:
+    """Whether a word begins at the first, and at the second of two equal characters after an x."""
+    begun = {a for _, (a, _) in library.pre_tokenizer.pre_tokenize_str("".join(f"x{c}{c}" for c in characters) + "x")}
+    return [(3 * i + 1 in begun, 3 * i + 2 in begun) for i in range(len(characters))]
+
+
 _built: dict[str, Tokenizer] = {}
 
 
-def tokenizer_of(source: str, key: str) -> Tokenizer:
+def tokenizer_of(source: str, key: str, lower: dict[int, str], classed: dict[int, str]) -> Tokenizer:
     """One automaton per Python worker and vocabulary."""
     if key not in _built:
-        _built[key] = Tokenizer(json.loads(source))
+        _built[key] = Tokenizer(json.loads(source), lower, classed)
     return _built[key]
 
 
@@ -249,13 +281,13 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
     """
     source = read_source(path)
     key = hashlib.sha256(source.encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(source)
+    shared = docs.sparkSession.sparkContext.broadcast((source, key, *newer_characters(source)))
     names = [own_name(docs, n) for n in ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")[: 4 if with_ids else 3]]
     schema = widened(docs, **dict(zip(names, ("long", "string", "string", "array<int>"))))
     types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(shared.value, key)
+        tokenizer = tokenizer_of(*shared.value)
         for batch in batches:
             columns = [[] for _ in names]
             for value in batch.column(text):
