@@ -261,7 +261,7 @@ def test_fingerprints(docs, spark, none):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
     assert fingerprints.edited_fingerprints(none).isEmpty()
-    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(95))), (3, list(range(50))), (4, [])], "doc_id long, spots array<int>")
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(95))), (3, list(range(50))), (4, [])], "doc_id long, spots array<bigint>")
     assert [(r["a"], r["b"]) for r in fingerprints.near_pairs(sets).collect()] == [(1, 2)]
 
 
