@@ -34,7 +34,7 @@ from opsloom.llm.common import own_name, widened
 #: Words that a Python worker keeps, alone and with what stands beside them without a space.
 KEPT_WORDS = 100_000
 #: Separators that ``str.split`` takes for white space and the pattern does not.
-_NO_SPACE = regex.compile("[\x1c-\x1f]")
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_symbols() -> list[str]:
@@ -72,9 +72,9 @@ class Automaton:
         self.trie = ahocorasick.Automaton()
         self.sign = END if end else ""
         for token, i in self.inner.items():
-            self.trie.add_word(token, (len(token), i))
+            self.trie.add_word(token, (len(token), i + 1))
         for token, i in self.last.items() if end else ():
-            self.trie.add_word(token + END, (len(token) + 1, i))
+            self.trie.add_word(token + END, (len(token) + 1, i + 1))
         if len(self.trie):
             self.trie.make_automaton()
 
@@ -107,10 +107,10 @@ class Automaton:
                 upto, b = since_b, self.parts[b][0]
 
     def follows(self, a: int, b: int) -> bool:
-        """Fill a transition table entry: one number for the two arcs, whether the second may follow."""
+        """Fill a transition table entry, one number for two arcs (numbered from 1): whether the second may follow."""
         if len(self.table) > 1_000_000:
             self.table.clear()
-        known = self.table[a << 32 | b] = self._open(a, b, 1 << 60)
+        known = self.table[a << 32 | b] = self._open(a - 1, b - 1, 1 << 60)
         return known
 
     def encode(self, word: str) -> list[int]:
@@ -119,15 +119,15 @@ class Automaton:
             return []
         word += self.sign
         known, follows = self.table.get, self.follows
-        arc: list[int | None] = [None] * (len(word) + 1)  # the last arc of the path up to each place
+        arc: list[int] = [0] * (len(word) + 1)  # the last arc of the path up to each place, numbered from 1; 0 is none
         size = [0] * (len(word) + 1)
         for end, (length, token) in self.trie.iter(word):
             end += 1
-            if arc[end] is not None:
+            if arc[end]:
                 continue
-            if length < end:
+            if length != end:
                 before = arc[end - length]
-                if before is None:
+                if not before:
                     continue
                 open_ = known(before << 32 | token)
                 if not (follows(before, token) if open_ is None else open_):
@@ -135,9 +135,9 @@ class Automaton:
             arc[end], size[end] = token, length
         path, at = [], len(word)
         while at:
-            if arc[at] is None:
+            if not arc[at]:
                 raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-            path.append(arc[at])
+            path.append(arc[at] - 1)
             at -= size[at]
         return path[::-1]
 
@@ -216,7 +216,7 @@ class Tokenizer:
                 found.append((1, str(i), self.labels[i]))
                 continue
             piece = self.normal(piece)
-            chunks = piece.split(" ") if _NO_SPACE.search(piece) else piece.split()
+            chunks = piece.split(" ") if any([c in piece for c in _NO_SPACE]) else piece.split()
             for k in range(0, len(chunks), KEPT_WORDS):
                 entry = self.entry
                 found += [e for e in [self.known.get(c) or entry(c) for c in chunks[k : k + KEPT_WORDS]] if e[0]]
