@@ -37,7 +37,7 @@ from opsloom.session import settle
 CELLS = 1 << 18
 STARS = 2
 #: Long values of the bitmap, 64 parity bits each, and open holders of a shingle that one task pairs with all others.
-BITMAP = [f"s{i}" for i in range(8)]
+BITMAP = [f"s{i}" for i in range(32)]
 PAIRED = 512
 
 
