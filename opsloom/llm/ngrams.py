@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import cell_batches, shingle_hashes, slices, summed_cells, widened, word_hashes
+from opsloom.llm.common import cell_batches, shingle_hashes, slices, summed_cells, word_hashes
 from opsloom.llm.exact import maybe_repeated, repeated_blocks
 from opsloom.session import settle
 

@@ -17,7 +17,7 @@ from opsloom.llm.common import table
 from opsloom.llm.conversations import repair_conversations
 from opsloom.llm.exact import exact_groups
 from opsloom.llm.fingerprints import edited_fingerprints
-from opsloom.llm.licences import BASE, scan_licences
+from opsloom.llm.licences import scan_licences
 from opsloom.llm.mixing import mix_sizes
 from opsloom.llm.ngrams import near_components
 from opsloom.llm.personal import find_personal
