@@ -1,9 +1,10 @@
 """Document fingerprints from spot signatures, with DataFrame functions only.
 
 A spot is a common word (an anchor) with the chain of the next two content words after it; the fingerprint of a text is
-the sorted set of its spots' hashes. A text without any spot takes every pair of neighbouring words, or else its only
-word, as a spot. Fingerprints are compared by Jaccard, pruned by set length: sets whose lengths alone exclude the
-wanted likeness are never laid side by side.
+the sorted set of its spots' 64-bit hashes, and of about ``PAIRS`` pairs of neighbouring words (all pairs of a short
+text) that their first word's hash picks. The pairs stand for texts in which anchors are rare; as the share that is
+picked follows the number of different words, an edit changes the set in proportion, never all of it. Fingerprints are compared by
+Jaccard, pruned by set length: sets whose lengths alone exclude the wanted likeness are never laid side by side.
 
 Null texts count as empty; an empty text has the empty fingerprint, which is like another empty one (1) and nothing
 else (0). Rows that repeat a doc_id are all kept; the row after them is that of the next larger doc_id. A null doc_id is
@@ -24,26 +25,30 @@ ANCHORS = ["the", "is", "was", "for", "with", "der", "die", "ist", "mit", "le",
 #: Common words that are neither anchors nor content.
 SKIPPED = ["of", "and", "to", "in", "a", "that", "it", "on", "und", "das", "von", "zu", "den", "et", "les", "des", "un", "une", "en", "de", "que", "y", "las", "por"]
 CHAIN = 2
+#: Pairs of neighbouring words in a fingerprint, about; a shorter text has all of its own.
+PAIRS = 64
 #: Words after an anchor among which its chain is sought.
 REACH = 8
 
 
 def with_spots(df: DataFrame, text: str, spots: str) -> DataFrame:
     """``df`` and the sorted distinct hashes of the spots of a text column. One step a column, so that none is repeated."""
-    t = {n: own_name(df, f"{spots}_{n}") for n in ("words", "starts", "found")}
+    t = {n: own_name(df, f"{spots}_{n}") for n in ("words", "kinds", "starts", "found")}
     words = F.col(t["words"])
     anchors, common = F.array(*map(F.lit, ANCHORS)), F.array(*map(F.lit, ANCHORS + SKIPPED))
 
     def spot(i: Column) -> Column:
         chain = F.slice(F.filter(F.slice(words, i + 2, F.lit(REACH)), lambda w: ~F.array_contains(common, w)), 1, CHAIN)
-        return F.when(F.size(chain) == CHAIN, F.hash(F.get(words, i), F.concat_ws(" ", chain)))
+        return F.when(F.size(chain) == CHAIN, F.xxhash64(F.get(words, i), F.concat_ws(" ", chain)))
 
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.hash(F.lit(""), F.get(words, i), F.coalesce(F.get(words, i + 1), F.lit(""))))
-    plain = F.when(F.size(words) > 0, pairs).otherwise(F.array().cast("array<int>"))
+    kinds = F.col(t["kinds"])  # read twice, so that the optimizer does not move its computation into the loop over the words
+    picked = F.transform(words, lambda w, i: F.when((kinds <= PAIRS) | (F.pmod(F.xxhash64(w), F.lit(1 << 20)) * kinds < F.lit(PAIRS << 20)), i))
+    pairs = F.transform(F.filter(picked, lambda i: i.isNotNull()), lambda i: F.xxhash64(F.lit(""), F.get(words, i), F.coalesce(F.get(words, i + 1), F.lit(""))))
     out = df.withColumn(t["words"], F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
+    out = out.withColumn(t["kinds"], F.size(F.array_distinct(words)).cast("long"))
     out = out.withColumn(t["starts"], F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(anchors, w), i)), lambda i: i.isNotNull()))
-    out = out.withColumn(t["found"], F.array_distinct(F.filter(F.transform(t["starts"], spot), lambda h: h.isNotNull())))
-    out = out.withColumn(spots, F.array_sort(F.when(F.size(t["found"]) > 0, F.col(t["found"])).otherwise(F.array_distinct(plain))))
+    out = out.withColumn(t["found"], F.filter(F.transform(t["starts"], spot), lambda h: h.isNotNull()))
+    out = out.withColumn(spots, F.array_sort(F.array_distinct(F.concat(F.col(t["found"]), pairs))))
     return out.drop(*t.values())
 
 
@@ -98,6 +103,6 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     both = spotted.join(heads, spotted.doc_id == heads.of).select("doc_id", "text", F.col("spots").alias("a"), "head", "next_spots", F.length("text").cast("long").alias("n_chars"))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.expr("substring(head, 1, cast(n_chars div 4 as int))"))
     out = with_spots(both.withColumn("edited", edited).drop("text", "head"), "edited", "b")
-    named = lambda c: F.concat_ws(" ", F.transform(c, lambda h: F.hex(h.cast("long") + F.lit(2147483648))))
+    named = lambda c: F.concat_ws(" ", F.transform(c, F.hex))
     return out.select(F.col("doc_id.id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), named("a").alias("fingerprint"), named("b").alias("edited_fingerprint"),
                       likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_spots")).alias("near_next"))
