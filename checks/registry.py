@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks import oracles
 from checks.standins import Standins
-from opsloom.session import prepare
+from opsloom.session import prepare_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,7 @@ def query(name: str, *, relation: str | None = None, sql: str | None = None):
 
     def register(fn: Callable[[Standins], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Standins(prepare(spark), sf_dir))
+            return fn(Standins(prepare_tables(spark), sf_dir))
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")

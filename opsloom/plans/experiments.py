@@ -121,7 +121,11 @@ def request_members(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def _role_bounds(members: DataFrame) -> DataFrame:
-    """Start and stop of each experiment over the requests that have users of a role; one row per experiment."""
+    """Start and stop of each experiment over the requests that have users of a role; one row per experiment.
+
+    Every experiment of ``members`` has its row. Rows look theirs up by a left join: of an inner one, AQE keeps
+    the sorts by experiment when few partitions hold all experiments, and a task then sorts a whole one.
+    """
     return members.groupBy("experiment_id").agg(
         *[
             agg(F.when(F.col(f"n_{role}") > 0, F.col(source))).alias(f"{role}_{name}")
@@ -159,7 +163,7 @@ def request_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
     )
     return (
         rows.alias("r")
-        .join(_role_bounds(members).alias("b"), same_key("r", "b", ["experiment_id"]))
+        .join(_role_bounds(members).alias("b"), same_key("r", "b", ["experiment_id"]), "left")
         .select(
             "r.experiment_id", "bucket_id", "role", "min_assignment_time", "max_assignment_time",
             *_bounds_of(F.col("r.role")), "request_id", "user_id",
@@ -182,7 +186,7 @@ def unified_exposure(assignments: DataFrame, quotes: DataFrame) -> DataFrame:
     )
     return (
         timed.alias("m")
-        .join(_role_bounds(members).alias("b"), same_key("m", "b", ["experiment_id"]))
+        .join(_role_bounds(members).alias("b"), same_key("m", "b", ["experiment_id"]), "left")
         .select(
             "m.experiment_id", "bucket_id", "min_assignment_time", "max_assignment_time",
             *_bounds_of(F.col("m.roles")), "request_id", "user_id",

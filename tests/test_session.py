@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.session import SESSION_CONF, fresh_dir, release, scratch, settle, shared_dir
+from opsloom.session import SESSION_CONF, SHUFFLED, TASK_CONF, fresh_dir, prepare_tables, release, scratch, settle, shared_dir
 from tests.conftest import rows
 
 
@@ -12,6 +12,14 @@ def test_settings_are_pinned(spark):
     assert {k: spark.conf.get(k) for k in SESSION_CONF} == SESSION_CONF
 
 
+def test_table_tasks_do_not_grow_with_few_shuffle_partitions(spark):
+    session = prepare_tables(spark.newSession())
+    assert {k: session.conf.get(k) for k in TASK_CONF} == TASK_CONF
+    assert int(session.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == SHUFFLED
+    session.conf.set("spark.sql.shuffle.partitions", "900")
+    assert int(prepare_tables(session).conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 900
+
+
 def test_settled_relation_is_read_from_the_shared_folder(spark, make):
     df = make("a int, b string", (1, "x"), (2, None)).withColumn("c", F.col("a") * 2)
     kept = settle(df, "probe")
