@@ -38,10 +38,11 @@ def save_bucketed(df: DataFrame, table: str, *, by: Sequence[str], buckets: int,
     """Write a table whose files are dealt out by a hash of some columns.
 
     Grouping on those columns and more, and joining on them with a table of as many buckets, then needs
-    no shuffle. Rows are dealt the same way before they are written, so a bucket is one file. Choose
-    columns of which no single value holds much of the data.
+    no shuffle. Rows are rebalanced on the columns before they are written, which keeps files large; AQE
+    splits a value that holds much of the data over several tasks, so a task sorts no whole bucket and
+    a large bucket is several files.
     """
-    writer = df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by)
+    writer = df.hint("rebalance", *by).write.mode("overwrite").bucketBy(buckets, *by)
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 

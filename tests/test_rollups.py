@@ -118,6 +118,22 @@ def test_bucketed_scorecards_are_grouped_without_a_shuffle(spark, make, tmp_path
     spark.sql(f"DROP TABLE {table}")
 
 
+def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    card = spark.range(0, 40000, 1, 8).select(F.lit(date(2020, 1, 6)).alias("index_date"), F.xxhash64("id").alias("n"))
+    table, key = f"cards_{uuid.uuid4().hex[:8]}", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "32k")
+    try:
+        save_bucketed(card, table, by=["index_date"], buckets=4, path=str(tmp_path / "cards"))
+    finally:
+        spark.conf.set(key, before)
+    assert len([f for f in os.listdir(tmp_path / "cards") if f.endswith(".parquet")]) > 1
+    days = spark.table(table).groupBy("index_date").agg(F.count("*").alias("n"), F.sum(F.col("n").cast("decimal(38)")).alias("s"))
+    assert "Exchange" not in plan_of(days)
+    assert rows(days) == rows(card.groupBy("index_date").agg(F.count("*").alias("n"), F.sum(F.col("n").cast("decimal(38)")).alias("s")))
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_team_labels_are_arguments(make):
     card = make(
         "emp_lvl string, email_address string, manager_name string, index_date date, closed_cases int, total_lops_time long, lunch_time long",
