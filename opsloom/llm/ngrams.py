@@ -13,7 +13,9 @@ every pair that shares a prefix shingle is either in one component already or ve
 Candidates pass the length filter and the positional filter in the join, and for all pairs a bitmap filter as well (one
 parity bit per hash bucket: the bits in which two sets differ are at most the shingles in which they do); then the
 suffix filter (counts of the rest of both sets by hash range bound their difference), and are verified once per pair.
-A shingle with many open holders is dealt over several tasks.
+A shingle with many open holders is dealt over several tasks. Near texts share most of their prefix, so of all pairs
+only those are put out that share none of the first ``EARLIER`` open shingles of both before the one they meet at: the
+shingle they share first has them as well, and there the positional filter may take the shingles before it as different.
 
 Null, empty and wordless texts have no shingles and link with nothing. Rows with shingles and the same doc_id count as
 one document for links; all rows are returned. Documents of fewer than five words are one shingle.
@@ -39,6 +41,8 @@ STARS = 2
 #: Long values of the bitmap, 64 parity bits each, and open holders of a shingle that one task pairs with all others.
 BITMAP = [f"s{i}" for i in range(8)]
 PAIRED = 512
+#: Of the open shingles before one in its prefix, so many go with it (the rarest) to tell whether a pair has met before.
+EARLIER = 8
 
 
 def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -182,6 +186,33 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, perc
     return near_pairs.join(s, "a").join(t, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
+def _fits(percent: int, n: str, place: str, n2: str, place2: str, before: str) -> str:
+    """Length and positional filter of two sets that share a shingle and at most ``before`` shingles ahead of it."""
+    return (f"100 * least({n}, {n2}) >= {percent} * greatest({n}, {n2}) and"
+            f" ({100 + percent}) * ({before} + least({n} - {place}, {n2} - {place2})) >= {percent} * ({n} + {n2})")
+
+
+def met_across(rows: DataFrame, open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share an open shingle and pass the filters.
+
+    A pair is met at the first open shingle that both share, and at a later one only if ``EARLIER`` open shingles do
+    not reach back to the first.
+    """
+    differ = " + ".join(f"bit_count({s} ^ other.{s})" for s in BITMAP)
+    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
+    before = "least(rank, rank2, rank - size(early) + rank2 - size(early2))"  # shared ones that the arrays do not tell
+    live = rows.join(open_.select("token", F.expr(f"holders div {PAIRED}").alias("parts")), "token")
+    live = live.groupBy("class", "n", "root").agg(F.array_sort(F.collect_list(F.struct("place", "token", "parts"))).alias("open"))  # at most a prefix
+    live = (live.join(reps.select("class", *BITMAP), "class").select("*", F.slice("open.token", 1, EARLIER).alias("early"), F.posexplode("open").alias("rank", "o"))
+            .select("class", "n", "root", *BITMAP, "rank", "o.*", F.expr(f"slice(early, 1, least(rank, {EARLIER}))").alias("early")))
+    mine = live.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts") + 1))
+    other = live.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"), F.col("class").alias("d2"), F.col("n").alias("n2"),
+                        F.col("place").alias("p2"), F.col("root").alias("r2"), F.col("rank").alias("rank2"), F.col("early").alias("early2"), F.struct(*BITMAP).alias("other"))
+    met = mine.join(other, (mine["token"] == other["token"]) & (mine["part"] == other["part"]) & F.expr("root < r2")
+                    & F.expr(_fits(percent, "n", "place", "n2", "p2", before)) & F.expr(alike) & F.expr("not arrays_overlap(early, early2)"))
+    return met.select(F.least("class", "d2").alias("a"), F.greatest("class", "d2").alias("b"))
+
+
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -203,25 +234,14 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     def labelled() -> DataFrame:
         return held.join(roots.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-    def fits(n: str, place: str, n2: str, place2: str) -> str:
-        return (f"100 * least({n}, {n2}) >= {percent} * greatest({n}, {n2}) and"
-                f" ({100 + percent}) * (least({place}, {place2}) + least({n} - {place}, {n2} - {place2})) >= {percent} * ({n} + {n2})")
-
-    differ = " + ".join(f"bit_count({s} ^ other.{s})" for s in BITMAP)
-    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
     for turn in range(STARS + 1):
         rows = labelled()
         open_ = rows.groupBy("token").agg(F.count("*").alias("holders"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "n", "place", "root"), F.xxhash64("class", F.lit(turn))).alias("centre")).where("r0 != r1")
         if turn < STARS:
-            pairs = (rows.join(open_.select("token", "centre"), "token").where("root != centre.root").where(fits("n", "place", "centre.n", "centre.place"))
+            pairs = (rows.join(open_.select("token", "centre"), "token").where("root != centre.root").where(_fits(percent, "n", "place", "centre.n", "centre.place", "least(place, centre.place)"))
                      .select(F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b")))
         else:
-            live = rows.join(open_.select("token", F.expr(f"holders div {PAIRED}").alias("parts")), "token").join(reps.select("class", *BITMAP), "class")
-            mine = live.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts") + 1))
-            other = live.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"), F.col("class").alias("d2"), F.col("n").alias("n2"),
-                                F.col("place").alias("p2"), F.col("root").alias("r2"), F.struct(*BITMAP).alias("other"))
-            met = mine.join(other, (mine["token"] == other["token"]) & (mine["part"] == other["part"]) & F.expr("root < r2") & F.expr(fits("n", "place", "n2", "p2")) & F.expr(alike))
-            pairs = met.select(F.least("class", "d2").alias("a"), F.greatest("class", "d2").alias("b"))
+            pairs = met_across(rows, open_, reps, percent)
         pairs = pairs.distinct()
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
         if pairs.isEmpty():

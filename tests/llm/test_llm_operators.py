@@ -158,6 +158,26 @@ def test_ngram_links_of_a_large_near_group(spark):
     assert [got[i] for i in range(60)] == root
 
 
+def test_ngram_pairs_meet_at_their_first_shared_shingle(spark):
+    """Edits of one text share most of their prefix: a pair is put out once, not per shared shingle, and no link is lost."""
+    rng, base = random.Random(5), words_of(150, 9)[0].split()
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 1 + i % 5):
+            w[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    links = {(a, b) for a, b in itertools.combinations(range(40), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    reps = ngrams.prefixes(ready(spark).createDataFrame(rows, "doc_id long, text string"), 5, 80).withColumn("class", F.col("doc_id"))
+    held = reps.select("class", "n", F.posexplode("prefix").alias("place", "token"), F.col("class").alias("root"))
+    open_ = held.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    met = [tuple(r) for r in ngrams.met_across(held, open_, reps, 80).collect()]
+    shared = held.alias("x").join(held.alias("y"), "token").where("x.class < y.class").count()
+    assert links and links <= set(met)
+    assert len(met) == len(set(met)) and shared > 40 * len(met)
+
+
 def test_ngram_links_of_a_doc_id_with_several_texts(spark):
     """Document 1 carries three texts that each name a class, and each has a near copy elsewhere."""
     texts = [words_of(80, 30 + i)[0] for i in range(4)]
