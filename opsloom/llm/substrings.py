@@ -8,8 +8,10 @@ each group is sorted by deep-shallow sorting: multikey quicksort to a shallow de
 that still share a prefix. Common prefixes to the right and to the left of neighbours in the two orders tell which
 strings are repeated.
 
-A group with more than ``GROUP`` different surroundings is not brought into one task: its strings are counted by their
-hashes instead, with partial sums, and the answers are the same.
+A group with more than ``GROUP`` different surroundings is not brought into one task. It is cut up by blocks of
+distances: equal strings at the distances of a block have the text in common that all strings of the block cover, so
+surroundings are dealt by that text, and those that agree in all that the block's strings reach become one. What is
+still too large is cut up again by the next width; at the last one a group is a single string.
 
 Null texts count as empty; texts shorter than ``LENGTH`` bytes lose nothing. Rows that repeat a row wholly are copies
 of each other; rows that share a doc_id with other texts are kept apart.
@@ -31,6 +33,8 @@ from opsloom.session import settle
 
 LENGTH, GRAM = 200, 40
 GROUP = 2000
+#: Distances of a block, one cut after another.
+WIDTHS = (16, 4, 1)
 SHALLOW = 12
 #: Groups of at most so many surroundings are answered for all their pairs at once, from the two orders.
 PAIRED = 200
@@ -246,6 +250,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("k", "text").mapInArrow(run, "k long, place long, low long, high long, h long")
 
 
+def _name(left: bytes, right: bytes, *numbers: int) -> int:
+    digest = hashlib.blake2b(left + b"\xff" + right + b"".join(b"\xff%d" % x for x in numbers), digest_size=8)
+    return int.from_bytes(digest.digest(), "big", signed=True)
+
+
 def _surroundings(texts: DataFrame) -> DataFrame:
     """Text around each anchor; ``c`` names equal surroundings."""
     schema = "h long, c long, k long, place long, near long, far long, left binary, right binary"
@@ -257,8 +266,7 @@ def _surroundings(texts: DataFrame) -> DataFrame:
                 for x in places.as_py():
                     p = x["place"]
                     left, right = data[x["low"] : p][::-1], data[p : x["high"] + LENGTH]
-                    name = int.from_bytes(hashlib.blake2b(left + b"\xff" + right, digest_size=8).digest(), "big", signed=True)
-                    for column, value in zip(columns, (x["h"], name, k, p, p - x["high"], p - x["low"], left, right)):
+                    for column, value in zip(columns, (x["h"], _name(left, right), k, p, p - x["high"], p - x["low"], left, right)):
                         column.append(value)
                 kinds = [pa.int64()] * 6 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split(" ")[0] for f in schema.split(", ")])
@@ -273,6 +281,10 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
 
     def solved(group: list[tuple]) -> Iterator[tuple]:
         h, names, left, right, low, high, n = zip(*group)
+        if len(group) == 1:
+            if n[0] > 1:
+                yield h[0], names[0], [{"a": low[0], "b": high[0]}]
+            return
         many = [x > 1 for x in n]
         solve = _two if len(group) == 2 else repeated_starts
         for c, d in zip(names, solve(list(left), list(right), list(low), list(high), many)):
@@ -300,22 +312,47 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
     return rows.select("h", "c", "left", "right", "near", "far", "n").mapInArrow(run, schema)
 
 
-def _counted_groups(rows: DataFrame) -> DataFrame:
-    """The same for anchors with too many surroundings for one task: strings are counted by hash, not sorted."""
+def _pieces(rows: DataFrame, width: int) -> DataFrame:
+    """Surroundings cut to blocks of ``width`` distances: ``g`` names the text that all strings of a block cover, with
+    the anchor and the block, and ``e`` the text that they reach."""
+    schema = "h long, c long, g long, e long, near long, far long, left binary, right binary, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = [[] for _ in range(9)]
             for h, c, left, right, near, far, n in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                data = np.frombuffer(left[::-1] + right, np.uint8)
-                hashes = rolling(data, LENGTH)
-                d = len(left) - np.arange(len(hashes))
-                m = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * m, pa.int64()), pa.array([c] * m, pa.int64()), pa.array(d, pa.int64()), pa.array(hashes.view(np.int64)), pa.array([n] * m, pa.int64())], ["h", "c", "d", "w", "n"])
+                for first in range(near - near % width, far + 1, width):
+                    low, high = max(near, first), min(far, first + width - 1)
+                    l, r = left[:high], right[: LENGTH - low]
+                    g = _name(left[:first], right[: LENGTH - first - width + 1], h, first)
+                    for column, value in zip(columns, (h, c, g, _name(l, r), low, high, l, r, n)):
+                        column.append(value)
+            kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split(" ")[0] for f in schema.split(", ")])
+
+    return rows.select("h", "c", "left", "right", "near", "far", "n").mapInArrow(run, schema)
 
-    strings = rows.select("h", "c", "left", "right", "near", "far", "n").mapInArrow(run, "h long, c long, d long, w long, n long")
-    twice = strings.groupBy("h", "d", "w").agg(F.sum("n").alias("all")).where("all > 1").select("h", "d", "w")
-    found = strings.join(twice, ["h", "d", "w"]).groupBy("h", "c").agg(F.collect_set("d").alias("ds"))  # at most LENGTH a row
-    return found.select("h", "c", F.transform("ds", lambda d: F.struct(d.alias("a"), d.alias("b"))).alias("runs"))
+
+def _merged(rows: DataFrame, n: str) -> DataFrame:
+    """Equal surroundings (h, c) as one, with the sum of ``n``."""
+    texts = [F.first(c).alias(c) for c in ("left", "right", "near", "far")]
+    return settle(rows.groupBy("h", "c").agg(F.sum(n).alias("n"), *texts), "merged")
+
+
+def _solved(merged: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(h, c, runs): the repeated distances of every surrounding, one row or, for groups that were cut up, several."""
+    if not widths:
+        return _sorted_groups(merged.repartition("h").sortWithinPartitions("h"))
+    sizes = merged.groupBy("h").agg(F.count("*").alias("different"))
+    large = settle(sizes.where(F.col("different") > GROUP).select("h"), "large")
+    small = merged.join(sizes.where(F.col("different") <= GROUP).select("h"), "h")
+    found = _sorted_groups(small.repartition("h").sortWithinPartitions("h"))
+    if large.isEmpty():
+        return found
+    pieces = settle(_pieces(merged.join(large, "h"), widths[0]), "pieces")
+    parts = _merged(pieces.select(F.col("g").alias("h"), F.col("e").alias("c"), "n", "left", "right", "near", "far"), "n")
+    inner = settle(_solved(parts, widths[1:]), "solved").withColumnsRenamed({"h": "g", "c": "e"})
+    return found.unionByName(pieces.select("h", "c", "g", "e").join(inner, ["g", "e"]).select("h", "c", "runs"))
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
@@ -330,11 +367,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     around = settle(_surroundings(texts.select("k", F.col("text").cast("binary").alias("text"), "places")), "surroundings")
     copies = settle(texts.where("copies > 1").select("k", "copies"), "copies")
     around_n = around.join(copies, "k", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    merged = settle(around_n.groupBy("h", "c").agg(F.sum("copies").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("near").alias("near"), F.first("far").alias("far")), "merged")
-    sizes = merged.groupBy("h").agg(F.count("*").alias("different"))
-    large = settle(sizes.where(F.col("different") > GROUP).select("h"), "large")
-    small = merged.join(sizes.where(F.col("different") <= GROUP).select("h"), "h")
-    solved = _sorted_groups(small.repartition("h").sortWithinPartitions("h")).unionByName(_counted_groups(merged.join(large, "h")))
+    solved = _solved(_merged(around_n, "copies"))
     spans = around.select("h", "c", "k", "place").join(solved, ["h", "c"])
     spans = spans.select("k", F.explode("runs").alias("r"), "place").select("k", F.struct((F.col("place") - F.col("r.b")).alias("a"), (F.col("place") - F.col("r.a") + LENGTH).alias("b")).alias("s"))
     return spans.groupBy("k").agg(F.collect_set("s").alias("spans"))

@@ -234,6 +234,27 @@ def test_repeated_bytes(docs, none, monkeypatch, group):
     assert substrings.remove_repeats(none).isEmpty()
 
 
+def test_passage_of_a_large_group_is_not_dealt_string_by_string(spark, monkeypatch):
+    """60 texts hold one passage, some go on alike after it: blocks of distances are dealt, all strings are found."""
+    rng, passage = random.Random(8), words_of(120, 50)[0][:330]
+    texts = ["".join(rng.choices("xyz", k=150)) + passage + "uvw"[i % 3] * (i % 7) + "".join(rng.choices("xyz", k=150)) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0], texts[1][100:500], texts[2][:349] + "q" * 90, None])]
+    settled, made = substrings.settle, Counter()
+
+    def counted(df, label):
+        out = settled(df, label)
+        made[label] += out.count()
+        if label == "merged" and not made["strings"]:  # of all groups; those that are not large have few
+            made["strings"] = out.agg(F.sum(F.expr("far - near + 1"))).first()[0]
+        return out
+
+    monkeypatch.setattr(substrings, "settle", counted)
+    monkeypatch.setattr(substrings, "GROUP", 8)
+    docs = ready(spark).createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:5] for r in substrings.remove_repeats(docs).collect()) == removed(rows)
+    assert 0 < 5 * made["pieces"] < made["strings"], made
+
+
 def test_deep_shallow_order():
     rng = random.Random(2)
     strings = ["".join(rng.choices("ab", k=rng.randint(0, 60))).encode() for _ in range(300)] + [b"ab" * 40 + bytes([i % 7]) * (i % 5) for i in range(200)]
