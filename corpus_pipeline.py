@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and token_ids of every document of the mix."""
-    coded = bpe_encode(docs.select("doc_id", "source", "text"), vocabulary(spark), with_ids=True)
+    coded = bpe_encode(docs.select("doc_id", "source", "text"), vocabulary(spark), with_ids=True, keep_words=False)
     return coded.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 

@@ -6,10 +6,14 @@ import random
 import unicodedata
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from opsloom.llm import bpe, queries
+from opsloom.llm.common import ready
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +56,18 @@ def test_registered_query(spark, pair):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_encode_stage_leaves_no_words_in_the_workers(spark):
+    """Python workers outlive the stage; what it learned must not stay in them."""
+    docs = ready(spark).createDataFrame([(i, "s", f"qqvisit{i} left behind") for i in range(64)], "doc_id long, source string, text string").repartition(8)
+    want = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in bpe.bpe_encode(docs, PATH).collect()}
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(w.startswith("qqstage") for t in bpe._built.values() for words in (t.known, t.older) for w in words)])], ["n"])
+
+    other = docs.withColumn("text", F.regexp_replace("text", "qqvisit", "qqstage"))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert got == want and len(corpus_pipeline.encode(spark, other, "").collect()) == 64
+    assert docs.mapInArrow(held, "n long").agg(F.sum("n")).first()[0] == 0
