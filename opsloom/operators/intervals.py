@@ -91,6 +91,11 @@ def _leading(entries: Column, holds: Callable[[Column], Column]) -> Column:
     )
 
 
+def _latest(entries: str, holds: Callable[[Column], Column]) -> Column:
+    """The last of the leading entries that hold; NULL when there is none."""
+    return F.get(entries, _leading(F.col(entries), holds) - 1)
+
+
 def running_totals(sums: DataFrame, keys: Sequence[str], at: str, measures: Sequence[str]) -> DataFrame:
     """One row per key with ``totals``: its moments in order, each with the sums up to and with it.
 
@@ -116,8 +121,8 @@ def count_in_intervals(
     Points become running totals on two levels: per key over its days, and per key and day over that
     day's different moments. An interval looks up its key once and the days of its two ends, finds its
     places by binary search, and takes the total up to its stop less the total before its start. So every
-    join has as many rows as there are intervals, however many points a key holds, and no array holds
-    more than the days of the history or the moments of a day. Measures are exact numbers (integers or
+    join has as many rows as there are intervals, however many points a key holds, only the entries found
+    go on to the next join, and no array holds more than the days of the history or the moments of a day. Measures are exact numbers (integers or
     decimals), as totals are subtracted. Intervals without points, without a key or an end, or that stop
     before they start, keep their row with zeros.
     """
@@ -132,25 +137,24 @@ def count_in_intervals(
     days = running_totals(per_day, ["_key"], "_day", names).select("_key", F.col("totals").alias("_days"))
 
     first, last = F.to_date(start), F.to_date(stop)
-    looked_up = intervals.join(days, F.col(key) == F.col("_key"), "left").drop("_key")
-    for end, day in (("_first", first), ("_last", last)):
-        on_day = moments.select(F.col("_key").alias("_k"), F.col("_day").alias("_d"), F.col("totals").alias(end))
-        looked_up = looked_up.join(on_day, (F.col(key) == F.col("_k")) & (day == F.col("_d")), "left").drop("_k", "_d")
-
-    places = looked_up.select(
-        "*",
-        _leading(F.col("_days"), lambda e: e.getField("_day") < first).alias("_days_before"),
-        _leading(F.col("_days"), lambda e: e.getField("_day") < last).alias("_days_upto"),
-        _leading(F.col("_first"), lambda e: e.getField("_at") < F.col(start)).alias("_before"),
-        _leading(F.col("_last"), lambda e: e.getField("_at") <= F.col(stop)).alias("_upto"),
+    looked_up = intervals.join(days, F.col(key) == F.col("_key"), "left").select(
+        *columns,
+        _latest("_days", lambda e: e.getField("_day") < first).alias("_days_before"),
+        _latest("_days", lambda e: e.getField("_day") < last).alias("_days_upto"),
     )
+    ends = (("_before", first, lambda e: e.getField("_at") < F.col(start)), ("_upto", last, lambda e: e.getField("_at") <= F.col(stop)))
+    for place, day, holds in ends:
+        on_day = moments.select(F.col("_key").alias("_k"), F.col("_day").alias("_d"), F.col("totals").alias("_moments"))
+        looked_up = looked_up.join(on_day, (F.col(key) == F.col("_k")) & (day == F.col("_d")), "left").select(
+            *looked_up.columns, _latest("_moments", holds).alias(place)
+        )
 
-    def total(entries: str, place: str, name: str) -> Column:
-        return F.coalesce(F.get(entries, F.col(place) - 1).getField(name), F.lit(0))
+    def total(entry: str, name: str) -> Column:
+        return F.coalesce(F.col(entry).getField(name), F.lit(0))
 
     def inside(name: str) -> Column:
-        upto = total("_days", "_days_upto", name) + total("_last", "_upto", name)
-        before = total("_days", "_days_before", name) + total("_first", "_before", name)
+        upto = total("_days_upto", name) + total("_upto", name)
+        before = total("_days_before", name) + total("_before", name)
         return F.when(F.col(start) <= F.col(stop), upto - before).otherwise(0).alias(name)
 
-    return places.select(*columns, *[inside(n) for n in names])
+    return looked_up.select(*columns, *[inside(n) for n in names])

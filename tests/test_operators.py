@@ -134,3 +134,17 @@ def test_equal_intervals_keep_their_rows(make):
     points = make("k int, t timestamp_ntz", (1, datetime(2020, 1, 2)))
     found = count_in_intervals(spans, points, key="k", start="a", stop="b", at="t", measures={"n": F.lit(1)})
     assert [r["n"] for r in found.collect()] == [1, 1]
+
+
+def test_intervals_carry_no_arrays_from_one_join_to_the_next(make):
+    """The totals of a key's whole history are looked up where they are met; rows that are shuffled again hold numbers."""
+    intervals = make("user int, since timestamp, until timestamp", (1, datetime(2024, 1, 1), datetime(2024, 1, 3, 12)), (2, datetime(2024, 1, 1), None))
+    points = make("user int, at timestamp", (1, datetime(2024, 1, 2)), (1, datetime(2024, 1, 3, 12)), (1, datetime(2024, 1, 3, 13)))
+    counted = count_in_intervals(intervals, points, key="user", start="since", stop="until", at="at", measures={"n": F.lit(1)})
+    assert [(r["user"], r["n"]) for r in counted.orderBy("user").collect()] == [(1, 2), (2, 0)]
+    plan, joins = counted._jdf.queryExecution().optimizedPlan(), 0
+    while joins < 3:
+        if plan.nodeName() == "Join":
+            joins += 1
+            assert "array" not in plan.children().apply(0).schema().simpleString()
+        plan = plan.children().apply(0)
