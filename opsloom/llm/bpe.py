@@ -22,6 +22,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame
 
 from opsloom.llm.common import own_name, widened
 
-#: Words that a Python worker keeps, alone and with what stands beside them without a space.
-KEPT_WORDS = 100_000
+#: Words that a Python worker keeps, alone and with what stands beside them without a space, and their most characters.
+KEPT_WORDS, KEPT_SIZE = 200_000, 48
+#: Entries of the transition table that are kept.
+KEPT_ARCS = 200_000
 #: Separators that ``str.split`` takes for white space and the pattern does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -71,6 +74,7 @@ class Automaton:
         # labels of the arcs, those at the end of a word with a sign for the end, read by failure links
         self.trie = ahocorasick.Automaton()
         self.sign = END if end else ""
+        self.ids = [*range(-1, max(self.labels, default=-1) + 1)]  # by arc: words share these numbers
         for token, i in self.inner.items():
             self.trie.add_word(token, (len(token), i + 1))
         for token, i in self.last.items() if end else ():
@@ -108,7 +112,7 @@ class Automaton:
 
     def follows(self, a: int, b: int) -> bool:
         """Fill a transition table entry, one number for two arcs (numbered from 1): whether the second may follow."""
-        if len(self.table) > 1_000_000:
+        if len(self.table) >= KEPT_ARCS:
             self.table.clear()
         known = self.table[a << 32 | b] = self._open(a - 1, b - 1, 1 << 60)
         return known
@@ -118,7 +122,7 @@ class Automaton:
         if not word:
             return []
         word += self.sign
-        known, follows = self.table.get, self.follows
+        known, follows, ids = self.table.get, self.follows, self.ids
         arc: list[int] = [0] * (len(word) + 1)  # the last arc of the path up to each place, numbered from 1; 0 is none
         size = [0] * (len(word) + 1)
         for end, (length, token) in self.trie.iter(word):
@@ -137,33 +141,45 @@ class Automaton:
         while at:
             if not arc[at]:
                 raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
-            path.append(arc[at] - 1)
+            path.append(ids[arc[at]])
             at -= size[at]
         return path[::-1]
 
 
+class Known(dict):
+    """Ids by what stands between two spaces; one that is missing is asked from its tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.ids_of = tokenizer.chunk_ids
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        return self.ids_of(chunk)
+
+
 class Tokenizer:
     """A ``tokenizers`` JSON file with byte-level BPE, word ends, lower case and dropped white space."""
 
-    def __init__(self, source: dict, lower: dict[int, str] | None = None, classed: dict[int, str] | None = None):
+    def __init__(self, source: dict, lower: dict[int, str] | None = None, classed: dict[int, str] | None = None, kept_words: int = KEPT_WORDS):
         self.lower, self.classed = lower or {}, classed or {}
         model = source["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.labels = dict(self.automaton.labels)
+        self.kept_words = kept_words
         self.added = {t["content"]: t["id"] for t in source.get("added_tokens", [])}
         self.labels.update({i: t for t, i in self.added.items()})
         pattern = source["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = dict(enumerate(_byte_symbols()))
-        # what stood between two spaces, and single words: two generations each, those seen last stay
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-        self.words_known: dict[str, tuple[int, str, str]] = {}
-        self.words_older: dict[str, tuple[int, str, str]] = {}
+        # what stood between two spaces, and single words: two generations, those seen last stay
+        self.known = Known(self)
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.numbers = {i: str(i) for i in self.labels}
 
     def spelled(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word
         return word.encode("utf-8").decode("latin-1").translate(self.symbols)
 
     @staticmethod
@@ -178,57 +194,46 @@ class Tokenizer:
         chunk = chunk.translate(self.lower)
         return [chunk[a:b] for a, b in (m.span() for m in self.words.finditer(chunk.translate(self.classed)))]
 
-    def word_entry(self, word: str) -> tuple[int, str, str]:
-        """(number of tokens, ids as text, labels as text) of one pre-split word."""
-        found = self.words_known.get(word)
-        if found is None:
-            found = self.words_older.get(word)
-            if found is None:
-                ids = self.automaton.encode(self.spelled(word))
-                found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(self.words_known) >= KEPT_WORDS:
-                self.words_older, self.words_known = self.words_known, {}
-            self.words_known[word] = found
-        return found
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        return tuple(self.automaton.encode(self.spelled(word)))
 
-    def entry(self, chunk: str) -> tuple[int, str, str]:
-        """The same of what stands between two spaces."""
+    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+        """Tokens of what stands between two spaces and is not among the words seen last."""
         found = self.older.get(chunk)
         if found is None:
-            words = self.words.findall(chunk) if chunk.isascii() else self.split_words(chunk)
-            if len(words) == 1:
-                found = self.word_entry(words[0])
+            if chunk.isalpha():  # letters that Python knows: one word
+                found = self.word_ids(chunk)
             else:
-                parts = [self.word_entry(w) for w in words]
-                found = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
-        if len(self.known) >= KEPT_WORDS:
-            self.older, self.known = self.known, {}
-        self.known[chunk] = found
+                words = self.words.findall(chunk) if chunk.isascii() else self.split_words(chunk)
+                # a word that is split again is itself
+                found = self.word_ids(words[0]) if len(words) == 1 else tuple(chain.from_iterable([self.known[w] for w in words]))
+        if len(chunk) <= KEPT_SIZE:
+            self.known[chunk] = found
         return found
 
-    def entries(self, text: str) -> list[tuple[int, str, str]]:
-        """Entries of all chunks between spaces that have tokens. No word holds white space, so chunks are split alone."""
+    def encode(self, text: str | None) -> list[int]:
+        """Tokens of a text. No word holds white space, so chunks between spaces are split alone."""
+        text = text or ""
         pieces = self.split_added.split(text) if self.split_added and "<" in text else [text]
-        found = []
+        found: list[int] = []
         for piece in pieces:
             if piece in self.added:
-                i = self.added[piece]
-                found.append((1, str(i), self.labels[i]))
+                found.append(self.added[piece])
                 continue
             piece = self.normal(piece)
             chunks = piece.split(" ") if any([c in piece for c in _NO_SPACE]) else piece.split()
-            for k in range(0, len(chunks), KEPT_WORDS):
-                entry = self.entry
-                found += [e for e in [self.known.get(c) or entry(c) for c in chunks[k : k + KEPT_WORDS]] if e[0]]
+            for k in range(0, len(chunks), self.kept_words):
+                found.extend(chain.from_iterable(map(self.known.__getitem__, chunks[k : k + self.kept_words])))
+                if len(self.known) >= self.kept_words:
+                    self.older, self.known = self.known, Known(self)
         return found
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for e in self.entries(text or "") for i in e[1].split(" ")]
+    def written(self, ids: list[int]) -> str:
+        return " ".join(map(self.numbers.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs that the ids stand for."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 def read_source(path: str) -> str:
@@ -266,16 +271,19 @@ def _boundaries(library, characters: list[str]) -> list[tuple[bool, bool]]:
 _built: dict[str, Tokenizer] = {}
 
 
-def tokenizer_of(source: str, key: str, lower: dict[int, str], classed: dict[int, str]) -> Tokenizer:
+def tokenizer_of(source: str, key: str, lower: dict[int, str], classed: dict[int, str], kept_words: int = KEPT_WORDS) -> Tokenizer:
     """One automaton per Python worker and vocabulary."""
     if key not in _built:
         _built[key] = Tokenizer(json.loads(source), lower, classed)
+    _built[key].kept_words = kept_words
     return _built[key]
 
 
 def forget(key: str) -> None:
     """Let go of this worker's automaton and words."""
-    _built.pop(key, None)
+    tokenizer = _built.pop(key, None)
+    if tokenizer:
+        tokenizer.known = tokenizer.older = {}  # they name each other
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False, keep_words: bool = True) -> DataFrame:
@@ -283,7 +291,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
 
     Output columns whose names ``docs`` already uses get a leading underscore. No row is dropped; repeated rows give
     repeated results. Texts are worked on one by one; only the tokens of single words are kept between them. Python
-    workers outlive a task: without ``keep_words`` each task lets go of its words and automaton (up to 200 MB a worker)
+    workers outlive a task: without ``keep_words`` each task lets go of its words and automaton
     at its end, so that jobs that follow do not find the executor's memory taken.
     """
     source = read_source(path)
@@ -297,13 +305,12 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
         for batch in batches:
             columns = [[] for _ in names]
             for value in batch.column(text):
-                entries = tokenizer.entries(value.as_py() or "")
-                columns[0].append(sum([e[0] for e in entries]))
-                ids = " ".join([e[1] for e in entries])
-                columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                columns[2].append(hashlib.sha256(" ".join([e[2] for e in entries]).encode()).hexdigest())
+                ids = tokenizer.encode(value.as_py())
+                columns[0].append(len(ids))
+                columns[1].append(hashlib.sha256(tokenizer.written(ids).encode()).hexdigest())
+                columns[2].append(hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    columns[3].append(np.array(ids.split(" "), np.int32) if ids else [])
+                    columns[3].append(np.array(ids, np.int32))
             made = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 

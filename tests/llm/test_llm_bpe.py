@@ -47,6 +47,26 @@ def test_long_words_take_time_in_proportion(pair):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_need_no_pattern_and_share_their_numbers(pair):
+    _, library = pair
+    own = bpe.Tokenizer(json.loads(bpe.read_source(PATH)))
+    text = "visitqq größer visitqq ñandú"
+    want = library.encode(text, add_special_tokens=False).ids
+    own.words = own.split_words = None  # would fail if they were asked
+    assert own.encode(text) == want and own.encode(text) == want
+    assert {type(i) for ids in own.known.values() for i in ids} == {int} and set(own.known) == set(text.split())
+
+
+def test_words_kept_are_bounded_in_number_and_size(pair):
+    _, library = pair
+    own = bpe.Tokenizer(json.loads(bpe.read_source(PATH)), kept_words=20)
+    for k in range(0, 400, 40):
+        text = " ".join(f"qq{i},x" for i in range(k, k + 40)) + " " + "日本" * 500 + f"{k}"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        held = [*own.known, *own.older]
+        assert len(held) <= 4 * 20 * 3 and max(map(len, held)) <= bpe.KEPT_SIZE
+
+
 def test_registered_query(spark, pair):
     _, library = pair
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
