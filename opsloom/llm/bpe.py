@@ -34,6 +34,8 @@ from opsloom.llm.common import own_name, widened
 
 #: Words that a Python worker keeps, alone and with what stands beside them without a space, and their most characters.
 KEPT_WORDS, KEPT_SIZE = 200_000, 48
+#: The same where the executor's memory is wanted by other stages.
+FEW_WORDS = 50_000
 #: Entries of the transition table that are kept.
 KEPT_ARCS = 200_000
 #: Separators that ``str.split`` takes for white space and the pattern does not.
@@ -280,10 +282,11 @@ def tokenizer_of(source: str, key: str, lower: dict[int, str], classed: dict[int
 
 
 def forget(key: str) -> None:
-    """Let go of this worker's automaton and words."""
+    """Let go of this worker's automaton and words, and of the memory that Arrow holds for more batches."""
     tokenizer = _built.pop(key, None)
     if tokenizer:
         tokenizer.known = tokenizer.older = {}  # they name each other
+    pa.default_memory_pool().release_unused()
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False, keep_words: bool = True) -> DataFrame:
@@ -291,8 +294,8 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
 
     Output columns whose names ``docs`` already uses get a leading underscore. No row is dropped; repeated rows give
     repeated results. Texts are worked on one by one; only the tokens of single words are kept between them. Python
-    workers outlive a task: without ``keep_words`` each task lets go of its words and automaton
-    at its end, so that jobs that follow do not find the executor's memory taken.
+    workers outlive a task: without ``keep_words`` a task keeps ``FEW_WORDS`` instead of ``KEPT_WORDS`` words, and lets go
+    of them and of its automaton at its end, so that jobs that follow do not find the executor's memory taken.
     """
     source = read_source(path)
     key = hashlib.sha256(source.encode()).hexdigest()
@@ -316,7 +319,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from coded(batches, tokenizer_of(*shared.value))
+            yield from coded(batches, tokenizer_of(*shared.value, KEPT_WORDS if keep_words else FEW_WORDS))
         finally:
             if not keep_words:
                 forget(key)
