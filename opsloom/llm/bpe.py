@@ -177,7 +177,8 @@ class Tokenizer:
         # what stood between two spaces, and single words: two generations, those seen last stay
         self.known = Known(self)
         self.older: dict[str, tuple[int, ...]] = {}
-        self.numbers = {i: str(i) for i in self.labels}
+        self.numbers = [str(i) for i in range(max(self.labels) + 1)]
+        self.listed = [self.labels.get(i, "") for i in range(len(self.numbers))]
 
     def spelled(self, word: str) -> str:
         if word.isascii() and word.isprintable():
@@ -235,7 +236,7 @@ class Tokenizer:
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs that the ids stand for."""
-        return " ".join(map(self.labels.__getitem__, ids))
+        return " ".join(map(self.listed.__getitem__, ids))
 
 
 def read_source(path: str) -> str:
